@@ -1,0 +1,29 @@
+"""Lookups that stay balanced when a few keys hold much of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is heavy from 1/HEAVY_PARTS of all rows on, so there are at most HEAVY_PARTS heavy keys.
+HEAVY_PARTS = 1000
+
+
+def balanced_lookup(
+    rows: DataFrame, entries: DataFrame, keys: list[str], count: str, total: int, how: str = "inner"
+) -> DataFrame:
+    """Join ``rows`` to ``entries`` (one per key, with the number of rows in ``count``).
+
+    The at most HEAVY_PARTS entries that hold 1/HEAVY_PARTS of ``total`` rows or more are
+    broadcast and joined where the rows lie; all other keys are joined by shuffle. Null keys
+    find nothing: with ``how="left"`` such rows keep null values. An empty side gives an
+    empty (or all-null) result. ``count`` is not in the result.
+    """
+    limit = max(1, -(-total // HEAVY_PARTS))
+    values = [c for c in entries.columns if c not in (*keys, count)]
+    heavy = entries.filter(F.col(count) >= limit).select(*keys, *values, F.lit(True).alias("__heavy"))
+    tagged = rows.join(F.broadcast(heavy), keys, "left")
+    at_hand = tagged.filter("__heavy").drop("__heavy")
+    rest = tagged.filter("__heavy is null").drop("__heavy", *values)
+    light = entries.filter(F.col(count) < limit).drop(count)
+    return at_hand.unionByName(rest.join(light, keys, how))
