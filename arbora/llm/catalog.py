@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bin_completion, byte_bpe, one_spelling, same_records, split_overlap, term_counts
+from arbora.llm import bin_completion, byte_bpe, one_spelling, same_records, split_overlap, subjects, term_counts
 from arbora.storage import materialize, table
 
 TERM_FIELDS = ["deprel", "upos", "form"]
@@ -93,6 +93,27 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.fill(p8_containers(spark, sf_dir))
 
 
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    models = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return subjects.classify(documents, models, subjects.stock_endings(documents))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas that each document is about."""
+    return _areas(spark, sf_dir).select("doc_id", "subject_id").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per area, and their share of all documents."""
+    n = table(spark, sf_dir, "documents").count()
+    areas = table(spark, sf_dir, "subject_areas")
+    counts = _areas(spark, sf_dir).groupBy("subject_id").agg(F.countDistinct("doc_id").alias("documents"))
+    return areas.select("subject_id", "subject_name").join(counts, "subject_id", "left").select(
+        "subject_id", "subject_name", F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("documents", F.lit(0)) / F.lit(max(1, n))).alias("share")
+    )
+
+
 P1_TERMS_SQL = """
 with tok as (select distinct sent_id, idx, deprel, upos, form from ud_tokens),
 terms as (
@@ -141,6 +162,7 @@ select least(a, b) as sent_no_a, greatest(a, b) as sent_no_b from grid where i =
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_report": p5_report,
     "p6_found": p6_found, "p6_cells": p6_cells, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_composition": p9_composition,
 }
 SQL = {
     "p1_found": f"select field_name, term, mark from ({P1_TERMS_SQL}) where mark is not null",
