@@ -27,7 +27,7 @@ LEAST_SHARE = 0.25
 STOCK_SHARE, STOCK_TEXTS = 0.001, 8
 #: Weak labels of the address path are believed only if readers confirm at least this share of them.
 TRUST_PATHS = 0.5
-ROUNDS, STEPS, L2 = 3, 50, 10.0
+ROUNDS, STEPS, L2 = 3, 35, 10.0
 BATCH_ROWS = 512
 
 #: Ends of sentences, for Python and for the JVM.
@@ -38,23 +38,28 @@ _MARKS = re.compile("[̀-ͯ]")
 
 
 class _Words(dict):
-    """Word as it stands between blanks to (hash, hash without marks); the break and words without letters to markers."""
+    """Word as it stands between blanks to the place of its two hashes, with marks and without; 0 is the break, 1 a word without letters."""
 
-    BREAK, NONE = (1 << 32, 0), (1 << 33, 0)
+    def __init__(self) -> None:
+        super().__init__({"\0": 0})
+        self.word, self.bare, self.table = [0, 0], [0, 0], np.zeros((2, 2), np.uint64)
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 500_000:
-            self.clear()
+    def __missing__(self, word: str) -> int:
         letters = "".join(_WORD.findall(word))
-        if word == "\0":
-            code = self.BREAK
-        elif not letters:
-            code = self.NONE
-        else:
+        if letters:
             bare = _MARKS.sub("", unicodedata.normalize("NFD", letters)).replace("đ", "d")
-            code = zlib.crc32(letters.encode()), zlib.crc32(bare.encode())
-        self[word] = code
-        return code
+            self.word.append(zlib.crc32(letters.encode()))
+            self.bare.append(zlib.crc32(bare.encode()))
+        place = self[word] = len(self.word) - 1 if letters else 1
+        return place
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        if self.table.shape[1] != len(self.word):
+            self.table = np.array([self.word, self.bare], np.uint64)
+        return self.table
 
 
 _WORDS = _Words()
@@ -84,24 +89,24 @@ def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 def featurize(texts: list[str]) -> Sentences:
     """Words, pairs of words and pairs of words without marks of every sentence."""
-    codes: list[tuple[int, int]] = []
+    if len(_WORDS) > 500_000:
+        _WORDS.__init__()
+    words: list[str] = []
     lengths = []
     for text in texts:
-        words = _END.sub(_BREAK, text.lower()).split()
-        codes.extend(map(_WORDS.__getitem__, words))
-        codes.append(_Words.BREAK)
-        lengths.append(len(words) + 1)
-    both = np.array(codes, np.uint64).reshape(-1, 2)
-    kept = both[:, 0] != _Words.NONE[0]
-    owner = np.repeat(np.arange(len(texts)), lengths)[kept]
-    word, bare = both[kept, 0], both[kept, 1]
-    is_break = word == _Words.BREAK[0]
-    run = np.cumsum(is_break)
-    is_word = ~is_break
-    names, sentence = np.unique(run[is_word], return_inverse=True)
-    document = np.zeros(len(names), np.int64)
-    document[sentence] = owner[is_word]
-    w, b = word[is_word], bare[is_word]
+        found = _END.sub(_BREAK, text.lower()).split()
+        words += found
+        words.append("\0")
+        lengths.append(len(found) + 1)
+    place = _WORDS.places(words)
+    kept = place != 1
+    owner, place = np.repeat(np.arange(len(texts)), lengths)[kept], place[kept]
+    is_word = place != 0
+    run = np.cumsum(~is_word)[is_word]
+    first = np.diff(run, prepend=-1) != 0
+    sentence = np.cumsum(first) - 1
+    document = owner[is_word][first]
+    w, b = _WORDS.hashes()[:, place[is_word]]
     near = sentence[1:] == sentence[:-1] if len(w) else np.zeros(0, bool)
     feature = np.concatenate(
         [w & np.uint64(SLOTS - 1), _pair(w[:-1], w[1:], 1)[near], _pair(b[:-1], b[1:], 2)[near]] if len(w) else [w]
@@ -117,22 +122,41 @@ def score(s: Sentences, weights: np.ndarray, bias: float) -> np.ndarray:
     return np.bincount(s.sentence, weights[s.feature], len(s)) * _scale(s) + bias
 
 
-def fit(s: Sentences, y: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with L2 by adaptive gradient steps over all sentences."""
-    used, feature = np.unique(s.feature, return_inverse=True)
-    scale, weights, bias = _scale(s), np.zeros(len(used)), -2.0
-    seen, seen_bias = np.full(len(used), 1e-8), 1e-8
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-(np.bincount(s.sentence, weights[feature], len(s)) * scale + bias)))
-        error = (p - y) * trust
-        gradient = np.bincount(feature, (error * scale)[s.sentence], len(used)) + 0.02 * L2 * weights
-        seen += gradient**2
-        seen_bias += error.sum() ** 2
-        weights -= 0.5 * gradient / np.sqrt(seen)
-        bias -= 0.5 * error.sum() / np.sqrt(seen_bias)
-    whole = np.zeros(SLOTS)
-    whole[used] = weights
-    return whole, float(bias)
+class Small:
+    """The features that occur more than once, numbered anew, by sentence and by feature; ``scale`` still counts all."""
+
+    def __init__(self, s: Sentences, often: np.ndarray, scale: np.ndarray) -> None:
+        number = np.full(SLOTS, -1)
+        number[often] = np.arange(len(often))
+        feature, kept = number[s.feature], number[s.feature] >= 0
+        feature, sentence = feature[kept], s.sentence[kept]
+        order = np.argsort(sentence, kind="stable")
+        self.feature, self.size, self.scale, self.n = feature[order], len(often), scale, len(s)
+        self.rows, self.row_at = np.unique(sentence[order], return_index=True)
+        order = np.argsort(feature, kind="stable")
+        self.sentence = sentence[order]
+        self.columns, self.column_at = np.unique(feature[order], return_index=True)
+
+    def score(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        z = np.zeros(self.n)
+        if len(self.rows):
+            z[self.rows] = np.add.reduceat(weights[self.feature], self.row_at)
+        return z * self.scale + bias
+
+    def fit(self, y: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, float]:
+        """Logistic regression with L2 by adaptive gradient steps over all sentences."""
+        weights, bias = np.zeros(self.size), -2.0
+        seen, seen_bias = np.full(self.size, 1e-8), 1e-8
+        for _ in range(STEPS):
+            error = (1 / (1 + np.exp(-self.score(weights, bias))) - y) * trust
+            gradient = 0.02 * L2 * weights
+            if len(self.columns):
+                gradient[self.columns] += np.add.reduceat((error * self.scale)[self.sentence], self.column_at)
+            seen += gradient**2
+            seen_bias += error.sum() ** 2
+            weights -= 0.5 * gradient / np.sqrt(seen)
+            bias -= 0.5 * error.sum() / np.sqrt(seen_bias)
+        return weights, float(bias)
 
 
 def shares(s: Sentences, deals: np.ndarray, n: int) -> np.ndarray:
@@ -153,19 +177,22 @@ def train_area(texts: list[str], paths: list[str], fold: np.ndarray, labelled: n
     if not len(s) or not labelled.any():
         return np.zeros(SLOTS), -9.0, 0.0
     mine, half = labelled[s.document], fold[s.document]
-    halves = [s.part(half == k) for k in (0, 1)]
+    scale = _scale(s)
+    often = np.flatnonzero(np.bincount(s.feature, minlength=SLOTS) > 1)
+    whole = Small(s, often, scale)
+    halves = [Small(s.part(half == k), often, scale[half == k]) for k in (0, 1)]
     y, trust, z = mine.astype(float), np.ones(len(s)), np.zeros(len(s))
     for _ in range(ROUNDS):
         for k in (0, 1):
-            if len(halves[k]) and len(halves[1 - k]):
-                weights, bias = fit(halves[k], y[half == k], trust[half == k])
-                z[half != k] = score(halves[1 - k], weights, bias)
+            if halves[k].n and halves[1 - k].n:
+                z[half != k] = halves[1 - k].score(*halves[k].fit(y[half == k], trust[half == k]))
         least = np.quantile(z[~mine], 0.98) if (~mine).any() else -9.0
         share = shares(s, z > least, n)[s.document]
         y = np.where(mine & (z > least), 1.0, 0.0)
         trust = np.where(mine & (z <= least) & (share > 0), 0.5, 1.0)
         trust[~mine & (share >= 0.2) & (z > least)] = 0
-    weights, bias = fit(s, y, trust)
+    weights = np.zeros(SLOTS)
+    weights[often], bias = whole.fit(y, trust)
     grid = np.linspace(-4, 1, 51)
     about = [shares(s, z > t, n) >= LEAST_SHARE for t in grid]
     quality = np.array([2 * (a & labelled).sum() / max(1, a.sum() + labelled.sum()) for a in about])
@@ -176,7 +203,7 @@ def train_area(texts: list[str], paths: list[str], fold: np.ndarray, labelled: n
     said[weak.document[score(weak, weights, bias) > threshold]] = True
     if said.any() and labelled[said].mean() >= TRUST_PATHS:
         trust[(said & ~labelled)[s.document]] = 0
-        weights, bias = fit(s, y, trust)
+        weights[often], bias = whole.fit(y, trust)
     return weights, bias, threshold
 
 
@@ -204,13 +231,14 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFram
         weights, bias, threshold = train_area(sample["text"].tolist(), sample["path"].tolist(), fold, labelled)
         return pd.DataFrame({"subject_id": [area], "bias": [bias], "threshold": [threshold], "weights": [weights.astype(np.float32)]})
 
-    each = sample.withColumn("subject_id", F.explode(F.array(*[F.lit(k) for k in ids])))
-    return each.repartition(len(ids), "subject_id").groupBy("subject_id").applyInPandas(one, _MODEL)
+    each = materialize(sample, "sample").withColumn("subject_id", F.explode(F.array(*[F.lit(k) for k in ids])))
+    return each.repartitionByRange(max(1, len(ids)), "subject_id").groupBy("subject_id").applyInPandas(one, _MODEL)
 
 
 def stock_endings(documents: DataFrame) -> set[str]:
     """Last sentences that many different texts share; at most 1/STOCK_SHARE of them by the bound on their share."""
-    last = F.lower(F.trim(F.try_element_at(F.filter(F.split("text", END), lambda x: F.trim(x) != ""), F.lit(-1))))
+    line = F.substring_index(F.rtrim(F.col("text"), F.lit(" \t\r\n")), "\n", -1)
+    last = F.lower(F.trim(F.try_element_at(F.filter(F.split(line, END), lambda x: F.trim(x) != ""), F.lit(-1))))
     ends = documents.filter("text is not null").select(F.xxhash64("text").alias("h"), last.alias("ending")).filter("ending is not null").distinct()
     counts = materialize(ends.groupBy("ending").agg(F.count("*").alias("n")), "endings")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -223,17 +251,16 @@ def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> Data
     Texts are read whole. A stock phrase at the end is not counted; null, empty and blank texts
     and texts about none of the areas give no row. ``models`` has one row per area.
     """
-    rows = models.orderBy("subject_id").collect()  # one fixed-size model per area
+    rows = sorted(models.collect(), key=lambda r: r["subject_id"])  # one fixed-size model per area
     ids = np.array([r["subject_id"] for r in rows], np.int32)
     table = np.array([r["weights"] for r in rows], np.float32).T.copy() if rows else np.zeros((SLOTS, 0), np.float32)
     bias, threshold = np.array([r["bias"] for r in rows]), np.array([r["threshold"] for r in rows])
     shared = documents.sparkSession.sparkContext.broadcast((ids, table, bias, threshold, endings))
 
     def without_ending(text: str, endings: set[str]) -> str:
-        kept = text.rstrip()
-        bare = _END.sub("\n", kept + "\n").rstrip("\n \t")
-        last = bare.rpartition("\n")[2].strip().lower()
-        return text[: text.lower().rfind(last)] if last and last in endings else text
+        line = text[text.rstrip().rfind("\n") + 1 :]
+        last = _END.sub("\n", line + "\n").rstrip("\n \t").rpartition("\n")[2].strip()
+        return text[: text.rfind(last)] if last and last.lower() in endings else text
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, table, bias, threshold, endings = shared.value
@@ -243,9 +270,12 @@ def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> Data
                 s = featurize(texts)
                 if not len(s) or not len(ids):
                     continue
-                order = np.argsort(s.sentence, kind="stable")
-                starts = np.searchsorted(s.sentence[order], np.arange(len(s)))
-                z = np.add.reduceat(table[s.feature[order]], starts, axis=0) * _scale(s)[:, None] + bias
+                starts = np.flatnonzero(np.diff(s.sentence, prepend=-1))  # a sentence's words, pairs and bare pairs lie in three runs
+                z = np.zeros((len(s), len(ids)))
+                sums, of = np.add.reduceat(table[s.feature], starts, axis=0), s.sentence[starts]
+                for run in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of) < 0) + 1):
+                    z[of[run]] += sums[run]
+                z = z * _scale(s)[:, None] + bias
                 deals = (z > threshold).astype(np.int32)
                 total = np.bincount(s.document, minlength=len(texts))
                 by = np.stack([np.bincount(s.document, deals[:, k], len(texts)) for k in range(len(ids))], 1)
