@@ -180,7 +180,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     sizes = materialize(count_tokens(documents, vocabulary).filter("n_tokens > 0"), "sizes")
     blocks = max(1, -(-sizes.count() // BLOCK_TEXTS))
     dealt = sizes.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(
+    return dealt.repartition(blocks, "block").groupBy("block").applyInPandas(
         lambda texts: _pack_block(texts, capacity), "container_id bigint, doc_id bigint, start int, n_tokens int"
     )
 
