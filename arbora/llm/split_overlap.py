@@ -163,7 +163,10 @@ def near_texts(lists: DataFrame) -> DataFrame:
     left = passages.join(layout, "shard").withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts"))).withColumn("block", up_to("blocks"))
     right = train.join(layout, "shard").withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks"))).withColumn("part", up_to("parts"))
     keys = ["shard", "part", "block"]
-    hits = left.select(*keys, "eval_text", "start", "stop", "piece").groupBy(*keys).cogroup(right.select(*keys, "text").groupBy(*keys)).applyInPandas(
+    scans = layout.agg(F.sum(F.col("parts") * F.col("blocks"))).first()[0] or 1  # few bytes and much work: one task for each scan
+    left = left.select(*keys, "eval_text", "start", "stop", "piece").repartition(scans, *keys)
+    right = right.select(*keys, "text").repartition(scans, *keys)
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         lambda a, b: _scan(a, b), _PAIRS
     )
     return hits.groupBy("eval_text", "train_text").agg(F.sum("covered").cast("int").alias("covered"), F.min("distance").alias("distance"))
