@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.storage import materialize
+
 #: Lines of one file that a task numbers at once; the rest of the file's state is carried over by a small table.
 BLOCK_LINES = 8192
 _WHOLE = re.compile(r"[1-9][0-9]*")
@@ -92,7 +94,8 @@ def parse_lines(lines: DataFrame, labels: DataFrame) -> DataFrame:
     blocks learn where their sentence began.
     """
     rows = lines.filter("file_name is not null and line_number is not null").select("file_name", "line_number", "line_text").distinct()
-    parsed = rows.mapInPandas(_parse, PARSED).filter("kind <> 'comment'").withColumn("block", F.floor(F.col("line_number") / BLOCK_LINES))
+    # three stages need the parsed rows; written once, they are not parsed three times
+    parsed = materialize(rows.mapInPandas(_parse, PARSED).filter("kind <> 'comment'"), "parsed").withColumn("block", F.floor(F.col("line_number") / BLOCK_LINES))
     blank = F.when(F.col("kind") == "blank", F.col("line_number"))
     within = W.partitionBy("file_name", "block").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("file_name").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
