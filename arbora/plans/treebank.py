@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.vocabulary import LABEL_BASE
 from arbora.operators import trees
-from arbora.storage import table
+from arbora.storage import materialize, table
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def projection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _projective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syllable trees that are valid and projective."""
     done = trees.project(_glued(spark, sf_dir)).select("sent_no", "split", F.col("projected").alias("toks"))
-    valid = _valid(trees.with_tree(done))
+    valid = materialize(_valid(trees.with_tree(done)), "syllables")
     broken = trees.spans(trees.ancestors(valid, "sent_no"), "sent_no").filter("right_edge - left_edge + 1 <> size").select("sent_no").distinct()
     return valid.join(broken, "sent_no", "left_anti")
 
