@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.operators.skew import balanced_lookup
 from arbora.storage import materialize
 
-#: Labelled documents that the classifiers are fitted on at most: those with the smallest hash of doc_id.
-MAX_LABELLED = 3_500
+#: Labelled documents that the classifiers are fitted on at most: of each language those with the smallest
+#: hash of doc_id, in numbers that go with the square root of the language's labelled documents.
+MAX_LABELLED = 3_200
 #: Feature space of each classifier; fixed, so a model has 2**BITS weights.
 BITS = 17
 SLOTS = 1 << BITS
@@ -163,6 +165,18 @@ def shares(s: Sentences, deals: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(s.document, deals, n) / np.maximum(np.bincount(s.document, minlength=n), 1)
 
 
+def dealing(s: Sentences, margin: np.ndarray, n: int) -> np.ndarray:
+    """Sentences of each document that deal with each area. A sentence that could deal with several, for
+    areas share some words, counts for the one that fits best with it and with its document."""
+    over = margin > 0
+    count = lambda deals: np.stack([np.bincount(s.document, deals[:, k], n) for k in range(margin.shape[1])], 1)
+    share = count(over) / np.maximum(np.bincount(s.document, minlength=n), 1)[:, None]
+    fits = np.where(over, margin + np.log(share[s.document] + 0.02), -np.inf)
+    best = np.zeros_like(over)
+    best[np.arange(len(s)), fits.argmax(1)] = True
+    return count(best & over)
+
+
 def train_area(texts: list[str], paths: list[str], fold: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights, bias and the sentence threshold for one area.
 
@@ -218,7 +232,12 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFram
     that never says yes.
     """
     read = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("said"))
-    chosen = read.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    known = read.join(documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    known = materialize(known, "labelled")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sqrt(F.count("*")).alias("root"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("root")  # about the rank by hash over the root of the language's size
+    drawn = balanced_lookup(known, sizes, ["lang"], "n", known.count()).orderBy(place, "doc_id").limit(MAX_LABELLED)
+    chosen = materialize(drawn.select("doc_id", "said"), "chosen")
     path = F.regexp_replace(F.coalesce(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.lit("")), "[-/_]+", " ")
     sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     ids = [r[0] for r in areas.select("subject_id").filter("subject_id is not null").distinct().orderBy("subject_id").collect()]  # a closed list of fixed size
@@ -276,9 +295,8 @@ def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> Data
                 for run in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of) < 0) + 1):
                     z[of[run]] += sums[run]
                 z = z * _scale(s)[:, None] + bias
-                deals = (z > threshold).astype(np.int32)
                 total = np.bincount(s.document, minlength=len(texts))
-                by = np.stack([np.bincount(s.document, deals[:, k], len(texts)) for k in range(len(ids))], 1)
+                by = dealing(s, z - threshold, len(texts))
                 about = (by >= LEAST_SHARE * total[:, None]) & (by > 0)
                 d, k = np.nonzero(about)
                 yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from arbora.llm import subjects as sj
 
 _WORDS = {1: "lãi suất|ngân hàng|cổ phiếu".split("|"), 2: "trận đấu|cầu thủ|bàn thắng".split("|")}
@@ -27,7 +29,7 @@ def _texts(n, seed):
 
 def test_held_out_accuracy(spark):
     rows = _texts(500, 1)
-    df = spark.createDataFrame([(k, t, u, "c") for k, t, u, _ in rows] + [(900, None, None, "c"), (901, "", "", "c"), (902, " \n", "", "c"), (903, "từ " * 60_000, "", "c"), (None, "", "", "c")], "doc_id long, text string, url string, share string")
+    df = spark.createDataFrame([(k, t, u, "c") for k, t, u, _ in rows] + [(900, None, None, "c"), (901, "", "", "c"), (902, " \n", "", "c"), (903, "từ " * 60_000, "", "c"), (None, "", "", "c")], "doc_id long, text string, url string, share string").withColumn("lang", F.lit("vi"))
     draw = random.Random(2)
     labels = [(k, a if draw.random() > 0.05 else 3 - a) for k, _, _, truth in rows[:250] for a in truth or {None} if a] + [(k, None) for k, _, _, truth in rows[:250] if not truth]
     areas = spark.createDataFrame([(1, "a"), (2, "b")], "subject_id int, subject_name string")
@@ -42,7 +44,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_without_labels_or_texts(spark):
-    df = spark.createDataFrame([(1, "a b c.", "u")], "doc_id long, text string, url string")
+    df = spark.createDataFrame([(1, "a b c.", "u")], "doc_id long, text string, url string").withColumn("lang", F.lit(None).cast("string"))
     areas = spark.createDataFrame([(1, "a")], "subject_id int, subject_name string")
     none = spark.createDataFrame([], "doc_id long, subject_id int")
     models = sj.train(df, none, areas)
