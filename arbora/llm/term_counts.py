@@ -15,12 +15,11 @@ HEAVY_SHARE = 0.005
 _COUNTS = "field_name string, term string, occurrences bigint, records bigint"
 
 
-def heavy_terms(rows: DataFrame, fields: list[str]) -> pd.DataFrame:
-    """All terms with more than HEAVY_SHARE of the rows (and perhaps a few others), found in one pass of
-    bounded counters; at most 1/HEAVY_SHARE terms for each field."""
+def heavy_values(rows: DataFrame, fields: list[str]) -> dict[str, list]:
+    """All values with more than HEAVY_SHARE of the rows (and perhaps a few others), found in one pass of
+    bounded counters; at most 1/HEAVY_SHARE values for each field."""
     found = rows.select(*fields).stat.freqItems(fields, HEAVY_SHARE).first()
-    pairs = [(f, t) for f, terms in zip(fields, found) for t in terms or [] if t is not None]
-    return pd.DataFrame(pairs, columns=["field_name", "term"])
+    return {f: [t for t in values or [] if t is not None] for f, values in zip(fields, found)}
 
 
 def count_terms(rows: DataFrame, fields: list[str], record: str, position: str) -> DataFrame:
@@ -32,18 +31,30 @@ def count_terms(rows: DataFrame, fields: list[str], record: str, position: str)
 
     Rows meet by record once, so each record's terms are distinct within a partition. Heavy
     terms are then counted in arrays in place and leave a partition as one row each; only the
-    other terms are shuffled, pre-aggregated. No cap: both tables are exact and are united.
+    other terms are shuffled, pre-aggregated. Records that may hold more than HEAVY_SHARE of
+    the rows do not meet in one task: their rows meet by term as well. No cap: all parts are
+    exact and are united.
     """
-    heavy = heavy_terms(rows, fields)
+    values = heavy_values(rows, [*fields, record])
+    large = values.pop(record)
+    heavy = pd.DataFrame([(f, t) for f, terms in values.items() for t in terms], columns=["field_name", "term"])
     heavy_index = pd.MultiIndex.from_frame(heavy)
-    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *fields).distinct().repartition("r")
-    terms = (
-        each.select("r", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields])).alias("t"))
-        .filter("t.term is not null")
-        .groupBy("r", F.col("t.field_name").alias("field_name"), F.col("t.term").alias("term"))
-        .agg(F.count("*").alias("occurrences"))
-        .select("field_name", "term", "occurrences", F.col("r").isNotNull().cast("bigint").alias("records"))
-    )
+    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *fields).distinct()
+
+    def distinct_terms(part: DataFrame) -> DataFrame:
+        term = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields]))
+        return (
+            part.select("r", "k", term.alias("t")).filter("t.term is not null")
+            .groupBy("k", "r", F.col("t.field_name").alias("field_name"), F.col("t.term").alias("term")).agg(F.count("*").alias("occurrences"))
+            .select("field_name", "term", "occurrences", F.col("r").isNotNull().cast("bigint").alias("records"))
+        )
+
+    # rows without a record lie in none, so they need not meet; their key spreads them
+    keyed = each.withColumn("k", F.when(F.col("r").isNull(), F.xxhash64("p", *fields)).otherwise(F.xxhash64("r")))
+    is_large = F.coalesce(F.col("r").isin(large), F.lit(False)) if large else F.lit(False)
+    terms = distinct_terms(keyed.filter(~is_large).repartition("k"))
+    if large:
+        terms = terms.unionByName(distinct_terms(keyed.filter(is_large)))
 
     def local_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         occurrences, records = np.zeros(len(heavy_index), np.int64), np.zeros(len(heavy_index), np.int64)
