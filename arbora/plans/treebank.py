@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.vocabulary import LABEL_BASE
@@ -29,19 +29,25 @@ def strict_tree_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sent_no", "d.reason", "d.line_number")
 
 
-def single_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed sentences and how many are trees with one root, all heads present and no circle, whatever the root's label."""
-    tokens = table(spark, sf_dir, "ud_tokens").select("sent_id", "idx", "head", "source").distinct()
-    by_sentence = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "head"))).alias("t"), F.min("source").alias("source"))
-    # ids are placed 1..n by their order, and heads follow them
-    ids = F.transform("t", lambda x: x["idx"])
+def placed_heads(by_sentence: DataFrame) -> DataFrame:
+    """Sentences with ``t``, sorted (idx, head) with heads as idx + 1: adds n, heads by place 1..n (-1 where none is stored) and ``ends``."""
     place = lambda h: F.when(h == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position("ids", h - 1), F.lit(0)), F.lit(-1)))
-    placed = trees.settled(by_sentence, ids=ids, n=F.size("t"))
+    placed = trees.settled(by_sentence, ids=F.transform("t", lambda x: x["idx"]), n=F.size("t"))
     placed = trees.settled(placed, heads=F.transform("t", lambda x: place(F.coalesce(x["head"], F.lit(-1))).cast("int")))
     placed = trees.settled(placed, safe=F.transform("heads", lambda h: F.greatest(h, F.lit(0))))
-    placed = trees.settled(placed, ends=trees.chase(F.col("safe"), F.col("n")))
-    ok = (F.size(F.filter("heads", lambda h: h == 0)) == 1) & ~F.exists("heads", lambda h: h < 0) & ~F.exists("ends", lambda e: e > 0)
-    return placed.groupBy("source").agg(F.count("*").alias("sentences"), F.count_if(ok).alias("single_rooted"))
+    return trees.settled(placed, ends=trees.chase(F.col("safe"), F.col("n")))
+
+
+def single_root() -> Column:
+    """One root, all heads present and no circle, whatever the root's label; on ``placed_heads``."""
+    return (F.size(F.filter("heads", lambda h: h == 0)) == 1) & ~F.exists("heads", lambda h: h < 0) & ~F.exists("ends", lambda e: e > 0)
+
+
+def single_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed sentences and how many are trees with one root."""
+    tokens = table(spark, sf_dir, "ud_tokens").select("sent_id", "idx", "head", "source").distinct()
+    by_sentence = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "head"))).alias("t"), F.min("source").alias("source"))
+    return placed_heads(by_sentence).groupBy("source").agg(F.count("*").alias("sentences"), F.count_if(single_root()).alias("single_rooted"))
 
 
 def projectivity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 import pytest
 
-from arbora.plans import corpus, problems, treebank
+from arbora.plans import corpus, problems, repair, treebank
 from tests.side_by_side import same
 
-_ALL = {**problems.QUERIES, **treebank.QUERIES, **corpus.QUERIES}
-_SQL = {**problems.SQL, **treebank.SQL, **corpus.SQL}
+_ALL = {**problems.QUERIES, **treebank.QUERIES, **corpus.QUERIES, **repair.QUERIES}
+_SQL = {**problems.SQL, **treebank.SQL, **corpus.SQL, **repair.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(_ALL))
