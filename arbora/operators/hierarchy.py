@@ -47,61 +47,57 @@ def nodes_of(rows: DataFrame, tree: str, node: str, parent: Column, payload: Col
     )
 
 
-def resolve(rows: DataFrame, tree: str, node: str, parent: Column, payload: Column) -> Hierarchy:
+def resolve(rows: DataFrame, tree: str, node: str, parent: Column, payload: Column | None = None) -> Hierarchy:
     """Follow parents from every node.
 
     From the roots (no parent, or a parent that is not stored) frontier joins extend depth,
-    root and path level by level. What PLAIN_LEVELS levels do not reach is a small rest in
-    deep or cyclic trees; there each join doubles the step upwards, so a chain of n nodes
-    takes log2(n) joins. A node whose step is longer than its tree and that still reaches
-    nothing runs into a circle, and the places where such steps end are the circle's nodes.
-    An empty table gives empty results.
+    root and path level by level; each join takes the nodes that are not yet reached and
+    leaves fewer. What PLAIN_LEVELS levels do not reach is a small rest in deep or cyclic
+    trees; there each join doubles the step upwards, so a chain of n nodes takes log2(n)
+    joins. A node whose step is longer than its tree and that still reaches nothing runs into
+    a circle, and the places where such steps end are the circle's nodes. Without ``payload``
+    paths stay empty. An empty table gives empty results.
     """
-    nodes = materialize(nodes_of(rows, tree, node, parent, payload), "linked")
-    below = nodes.filter("up is not null")
-    frontier = nodes.filter("up is null").select(
-        "tree", "node", F.lit(0).alias("depth"), F.col("node").alias("root"), F.array("own").alias("path")
-    )
-    levels = [frontier]
+    keep = payload is not None
+    nodes = materialize(nodes_of(rows, tree, node, parent, payload if keep else F.lit(0)), "linked")
+    alone = F.array("own") if keep else F.array().cast("array<int>")
+    longer = lambda near, far: F.concat(near, far) if keep else near
+    place = ["tree", "node"]
+
+    frontier = nodes.filter("up is null").select(*place, F.lit(0).alias("depth"), F.col("node").alias("root"), alone.alias("path"))
+    waiting = nodes.filter("up is not null")
+    reached = [frontier]
     for _ in range(PLAIN_LEVELS):
         above = frontier.select("tree", F.col("node").alias("up"), "depth", "root", "path")
-        frontier = below.join(above, ["tree", "up"]).select(
-            "tree", "node", (F.col("depth") + 1).alias("depth"), "root", F.concat(F.array("own"), "path").alias("path")
-        )
-        levels.append(frontier)
-    reached = [materialize(reduce(DataFrame.unionByName, levels), "reached")]
-
-    active = materialize(
-        below.join(reached[0].select("tree", "node"), ["tree", "node"], "left_anti").select(
-            "tree", "node", F.col("up").alias("to"), F.array("own").alias("way")
-        ),
-        "active",
-    )
-    sizes = active.groupBy("tree").agg(F.count("*").alias("n"))
+        level = materialize(waiting.join(above, ["tree", "up"], "left"), "level")
+        frontier = level.filter("depth is not null").select(*place, (F.col("depth") + 1).alias("depth"), "root", longer(alone, F.col("path")).alias("path"))
+        waiting = level.filter("depth is null").select(*place, "up", "own")
+        reached.append(frontier)
+
+    active = waiting.select(*place, F.col("up").alias("to"), F.lit(1).alias("steps"), alone.alias("way"))
+    sizes = materialize(active.groupBy("tree").agg(F.count("*").alias("n")), "sizes")
     longest = sizes.agg(F.max("n")).first()[0] or 0
     # the parts of the trees in question that the rest can run into
-    known = materialize(reached[0].join(sizes.select("tree"), "tree", "left_semi"), "known")
+    known = materialize(reduce(DataFrame.unionByName, reached).join(sizes.select("tree"), "tree", "left_semi"), "known")
+    stuck = active.select(*place, "to")
     step = 1
     while longest:
-        goal = known.select("tree", F.col("node").alias("to"), F.struct("depth", "root", "path").alias("end"), F.lit(None).cast(active.schema["to"].dataType).alias("next"), F.lit(None).cast(active.schema["way"].dataType).alias("further"))
-        onward = active.select("tree", F.col("node").alias("to"), F.lit(None).cast(goal.schema["end"].dataType).alias("end"), F.col("to").alias("next"), F.col("way").alias("further"))
-        moved = materialize(active.join(goal.unionByName(onward), ["tree", "to"]), "moved")
-        arrived = moved.filter("end is not null").select(
-            "tree", "node", (F.col("end.depth") + F.size("way")).alias("depth"), F.col("end.root").alias("root"), F.concat("way", "end.path").alias("path")
-        )
+        end, onward = F.struct("depth", "root", "path"), F.struct(F.col("to").alias("next"), "steps", "way")
+        nothing = lambda like: F.lit(None).cast(like)
+        ends = known.select("tree", F.col("node").alias("to"), end.alias("end"))
+        ways = active.select("tree", F.col("node").alias("to"), onward.alias("on"))
+        goal = ends.withColumn("on", nothing(ways.schema["on"].dataType)).unionByName(ways.withColumn("end", nothing(ends.schema["end"].dataType)))
+        moved = materialize(active.join(goal, ["tree", "to"]), "moved")
+        arrived = moved.filter("end is not null").select(*place, (F.col("end.depth") + F.col("steps")).alias("depth"), F.col("end.root").alias("root"), longer(F.col("way"), F.col("end.path")).alias("path"))
         reached.append(arrived)
         known = known.unionByName(arrived)
-        if step >= longest:
+        active = moved.filter("end is null").select(*place, F.col("on.next").alias("to"), (F.col("steps") + F.col("on.steps")).alias("steps"), longer(F.col("way"), F.col("on.way")).alias("way"))
+        stuck = active.select(*place, "to")
+        if step >= longest or active.isEmpty():
             break
-        active = moved.filter("end is null").select("tree", "node", F.col("next").alias("to"), F.concat("way", "further").alias("way"))
         step *= 2
-        if active.isEmpty():
-            break
-    stuck = moved.filter("end is null").select("tree", "node", F.col("next").alias("to")) if longest else active.select("tree", "node", "to")
     circle = stuck.select("tree", F.col("to").alias("node")).distinct().withColumn("place", F.lit("on"))
-    endless = stuck.select("tree", "node").join(circle, ["tree", "node"], "left").select(
-        "tree", "node", F.coalesce("place", F.lit("below")).alias("place")
-    )
+    endless = stuck.select(*place).join(circle, place, "left").select(*place, F.coalesce("place", F.lit("below")).alias("place"))
     return Hierarchy(reduce(DataFrame.unionByName, reached), endless)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators.hierarchy import Hierarchy, ancestor_pairs, resolve
@@ -10,14 +10,14 @@ from arbora.operators.rejects import loaded_tokens, parse_lines
 from arbora.storage import table
 
 
-def _words(spark: SparkSession, sf_dir: str, payload) -> Hierarchy:
+def _words(spark: SparkSession, sf_dir: str, payload: Column | None = None) -> Hierarchy:
     tokens = table(spark, sf_dir, "ud_tokens")
     return resolve(tokens, "sent_id", "idx", F.when(F.col("head") != 0, F.col("head") - 1), payload)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose way up never ends."""
-    found = _words(spark, sf_dir, F.lit(0)).endless
+    found = _words(spark, sf_dir).endless
     return found.select(F.col("tree").alias("sent_id"), F.col("node").alias("idx"), "place")
 
 
