@@ -44,12 +44,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and source in the metadata: sentences, and those found in train."""
+    """Per evaluation split and source in the metadata (whatever its case; empty where none is named): sentences, and those found in train."""
     sentences = table(spark, sf_dir, "conllu_sentences")
     hit = split_overlap.overlaps(sentences).groupBy(F.col("eval_no").alias("sent_no")).agg(
         F.min("distance").alias("least"), F.count("*").alias("pairs")
     )
-    held = sentences.filter("split in ('dev', 'test')").select("sent_no", "split", F.coalesce(F.try_element_at("metadata", F.lit("source_name")), F.lit("")).alias("source_name"))
+    source = F.lower(F.trim(F.coalesce(F.try_element_at("metadata", F.lit("source_name")), F.lit(""))))
+    held = sentences.filter("split in ('dev', 'test')").select("sent_no", "split", source.alias("source_name"))
     return held.join(hit, "sent_no", "left").groupBy("split", "source_name").agg(
         F.count("*").alias("sentences"),
         F.count("least").alias("overlapping"),
@@ -156,8 +157,8 @@ grid as (
     lambda p, q: list_append(p, least(q[1], p[len(p)] + 1)))
   from grid where i < len(x)
 )
-select least(a, b) as sent_no_a, greatest(a, b) as sent_no_b from grid where i = len(x) and row[len(y) + 1] * 20 <= 3 * greatest(len(x), len(y))
 """
+_NEAR = "i = len(x) and row[len(y) + 1] * 20 <= 3 * greatest(len(x), len(y))"
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_report": p5_report,
@@ -169,6 +170,9 @@ SQL = {
     "p1_terms": P1_TERMS_SQL,
     "p4_found": P4_SQL + """select * from (select min(record_id) over (partition by sent, forms) as first_record_id, record_id from named) where record_id <> first_record_id""",
     "p4_records": P4_SQL + "select min(record_id) as first_record_id, count(*) as copies from named group by sent, forms",
-    "p5_found": P5_SQL,
+    "p5_found": f"{P5_SQL} select least(a, b) as sent_no_a, greatest(a, b) as sent_no_b from grid where {_NEAR}",
+    "p5_report": f"""{P5_SQL}, hit as (select b as sent_no, min(row[len(y) + 1]) as least, count(*) as pairs from grid where {_NEAR} group by b)
+select s.split, lower(trim(coalesce(s.metadata['source_name'], ''))) as source_name, count(*) as sentences, count(least) as overlapping, count_if(coalesce(least = 0, false))::bigint as exact, coalesce(sum(pairs), 0)::bigint as pairs
+from conllu_sentences s left join hit using (sent_no) where s.split in ('dev', 'test') group by 1, 2""",
     "p7_decoded": "select doc_id, true as same, length(coalesce(text, ''))::int as n_chars, length(coalesce(text, '')) > 0 as has_tokens from documents",
 }

@@ -137,7 +137,7 @@ def near_texts(lists: DataFrame) -> DataFrame:
         texts.filter("not is_train")
         .select(F.col("text").alias("eval_text"), F.split("text", SEP).alias("f"))
         .withColumn("n", F.size("f"))
-        .withColumn("parts", (15 * F.expr("n * 100 div 85") / 100).cast("int") + 1)
+        .withColumn("parts", F.expr("int((15 * (n * 100 div 85)) div 100) + 1"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("start", F.expr("int(n * k div parts)"))
         .withColumn("stop", F.expr("int(n * (k + 1) div parts)"))
