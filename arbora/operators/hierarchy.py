@@ -76,12 +76,11 @@ def resolve(rows: DataFrame, tree: str, node: str, parent: Column, payload: Colu
 
     active = waiting.select(*place, F.col("up").alias("to"), F.lit(1).alias("steps"), alone.alias("way"))
     sizes = materialize(active.groupBy("tree").agg(F.count("*").alias("n")), "sizes")
-    longest = sizes.agg(F.max("n")).first()[0] or 0
+    active = materialize(active.join(sizes, "tree"), "active")
     # the parts of the trees in question that the rest can run into
     known = materialize(reduce(DataFrame.unionByName, reached).join(sizes.select("tree"), "tree", "left_semi"), "known")
-    stuck = active.select(*place, "to")
-    step = 1
-    while longest:
+    stuck = [active.select(*place, "to").limit(0)]
+    while not active.isEmpty():
         end, onward = F.struct("depth", "root", "path"), F.struct(F.col("to").alias("next"), "steps", "way")
         nothing = lambda like: F.lit(None).cast(like)
         ends = known.select("tree", F.col("node").alias("to"), end.alias("end"))
@@ -91,13 +90,15 @@ def resolve(rows: DataFrame, tree: str, node: str, parent: Column, payload: Colu
         arrived = moved.filter("end is not null").select(*place, (F.col("end.depth") + F.col("steps")).alias("depth"), F.col("end.root").alias("root"), longer(F.col("way"), F.col("end.path")).alias("path"))
         reached.append(arrived)
         known = known.unionByName(arrived)
-        active = moved.filter("end is null").select(*place, F.col("on.next").alias("to"), (F.col("steps") + F.col("on.steps")).alias("steps"), longer(F.col("way"), F.col("on.way")).alias("way"))
-        stuck = active.select(*place, "to")
-        if step >= longest or active.isEmpty():
-            break
-        step *= 2
-    circle = stuck.select("tree", F.col("to").alias("node")).distinct().withColumn("place", F.lit("on"))
-    endless = stuck.select(*place).join(circle, place, "left").select(*place, F.coalesce("place", F.lit("below")).alias("place"))
+        onwards = moved.filter("end is null").select(
+            *place, F.col("on.next").alias("to"), (F.col("steps") + F.col("on.steps")).alias("steps"), longer(F.col("way"), F.col("on.way")).alias("way"), "n"
+        )
+        # more steps than the tree had nodes left: a circle; so no way grows beyond twice its own tree
+        stuck.append(onwards.filter("steps >= n").select(*place, "to"))
+        active = onwards.filter("steps < n")
+    endless_at = reduce(DataFrame.unionByName, stuck)
+    circle = endless_at.select("tree", F.col("to").alias("node")).distinct().withColumn("place", F.lit("on"))
+    endless = endless_at.select(*place).join(circle, place, "left").select(*place, F.coalesce("place", F.lit("below")).alias("place"))
     return Hierarchy(reduce(DataFrame.unionByName, reached), endless)
 
 
