@@ -14,6 +14,8 @@ from arbora.storage import materialize, table
 
 #: An arc can carry any base label but root.
 ARC_LABELS = 36
+#: A run of letters, marks and digits, or one other character.
+_PIECE = r"(?s)[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]"
 
 
 def fallback_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def syllable_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compound_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-syllable forms of the treebank and the documents that hold both syllables side by side.
 
-    Both sides meet on the pair of words, pre-aggregated per document, so no text is searched for every form.
+    Longer forms and occurrences with punctuation beside them are not counted here, see ``compound_occurrences``. Both sides meet on the pair of words, pre-aggregated per document, so no text is searched for every form.
     """
     forms = table(spark, sf_dir, "conllu_sentences").select(F.explode("toks.form").alias("form")).select(tx.words(F.lower("form")).alias("w")).filter(F.size("w") == 2)
     forms = forms.select(F.array_join("w", " ").alias("compound")).distinct()
@@ -83,6 +85,24 @@ def compound_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.join(found, "compound", "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+def compound_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of two or more syllables and the documents in which they stand verbatim, in any case, without a letter, mark or digit beside them.
+
+    Runs of white space count as one blank. Texts and forms are cut into runs of letters and single other
+    characters; for each length that a form has, both sides meet on that many pieces in a row, pre-aggregated per document.
+    """
+    pieces = lambda c: F.regexp_extract_all(F.array_join(tx.words(F.lower(c)), " "), F.lit(_PIECE), F.lit(0))
+    forms = table(spark, sf_dir, "conllu_sentences").select(F.explode("toks.form").alias("form")).filter(F.size(tx.words(F.col("form"))) > 1)
+    forms = forms.select(pieces("form").alias("w")).distinct()
+    lengths = forms.select(F.size("w").alias("n")).distinct()
+    texts = table(spark, sf_dir, "documents").select(pieces("text").alias("w"))
+    rows = texts.join(F.broadcast(lengths), F.size("w") >= F.col("n"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: (F.get("w", i - 1) != " ") & (F.get("w", i + F.col("n") - 2) != " "))
+    found = rows.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), "")))).alias("compound"), "n").groupBy("compound", "n").agg(F.count("*").alias("documents"))
+    wanted = forms.select(F.array_join("w", "").alias("compound"), F.size("w").alias("n"))
+    return wanted.join(found, ["compound", "n"], "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def bracket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per register: texts with brackets, and those in which they do not balance (one closes too early or stays open)."""
     d = table(spark, sf_dir, "documents").select("register", F.regexp_replace("text", r"[^()]", "").alias("b")).filter("b <> ''")
@@ -104,7 +124,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("lang", back.eqNullSafe(F.col("record")).alias("same")).groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_stars, word_groups, legal_actions, syllable_agreement, compound_coverage, bracket_balance, json_lines)}
+QUERIES = {f.__name__: f for f in (fallback_stars, word_groups, legal_actions, syllable_agreement, compound_coverage, compound_occurrences, bracket_balance, json_lines)}
 _W = treebank._with
 SQL = {
     "fallback_stars": r"""
@@ -133,6 +153,11 @@ select corpus, count(*) as words, count_if(not coalesce(array_to_string(list_fil
 d as (select doc_id, {_SPLIT % 'lower(text)'} as w from documents),
 p as (select distinct doc_id, w[i] || ' ' || w[i + 1] as compound from (select doc_id, w, unnest(range(1, len(w))) as i from d))
 select compound, count(doc_id) as documents from f left join p using (compound) group by 1""",
+    "compound_occurrences": f"""with f as (select distinct array_to_string({_SPLIT % 'lower(form)'}, ' ') as compound from (select unnest(toks, max_depth := 2) from conllu_sentences) where len({_SPLIT % 'form'}) > 1),
+g as (select compound, len(regexp_extract_all(compound, '{_PIECE}')) as n from f),
+d as (select row_number() over () as row_no, regexp_extract_all(array_to_string({_SPLIT % 'lower(text)'}, ' '), '{_PIECE}') as w from documents),
+o as (select distinct row_no, n, array_to_string(w[i:i + n - 1], '') as compound from (select row_no, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from g)))
+select compound, count(row_no) as documents from g left join o using (compound, n) group by 1""",
     "bracket_balance": """with d as (select doc_id, register, regexp_replace(text, '[^()]', '', 'g') as b from documents),
 c as (select doc_id, register, unnest(string_split(b, '')) as c, unnest(range(1, length(b) + 1)) as i from d where b <> ''),
 s as (select doc_id, register, sum(case when c = '(' then 1 else -1 end) over (partition by doc_id order by i) as depth, i from c),
