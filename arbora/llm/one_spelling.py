@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,10 @@ VIETNAMESE = frozenset(
 #: Ordinary beside plain letters: raised digits after a unit.
 _RAISED = frozenset("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺")
 _UNSEEN = frozenset("͏ᅟᅠ឴឵ㅤﾠ")
+#: Joiners, scripts in which they change nothing, and format characters that are seen.
+_JOINERS = frozenset("\u200c\u200d")
+_UNJOINED = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARMENIAN", "GEORGIAN", "HEBREW", "THAI", "LAO", "COMBINING")
+_SIGNS = frozenset("\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd")
 _ASCII_SPACE = frozenset(" \t\n\r\x0b\x0c")
 #: For the JVM: values made of these alone need no look.
 PLAIN_PATTERN = "^[ -~\\t\\n\\r\\x0b\\x0c" + "".join(sorted(c for c in VIETNAMESE if ord(c) > 126)) + "]*$"
@@ -136,11 +141,44 @@ class Trie:
         return min(ends, key=lambda e: (-e[0], e[1]))[1] if ends else None
 
 
+@lru_cache(maxsize=65536)
+def _joins(c: str) -> bool:
+    """Whether a joiner beside the character changes its look: emoji and scripts whose letters join."""
+    kind = unicodedata.category(c)
+    return kind in ("So", "Sk") or "︀" <= c <= "️" or (kind[0] in "LM" and not unicodedata.name(c, "LATIN").startswith(_UNJOINED))
+
+
+def shown(value: str) -> str:
+    """``symbols``, but for joiners, variation selectors and signs that show beside emoji or letters of another script."""
+
+    def shows(k: int, c: str) -> bool:
+        before, after = value[k - 1 : k], value[k + 1 : k + 2]
+        if c in _JOINERS:
+            return bool(before and after) and _joins(before) and _joins(after)
+        if "︀" <= c <= "️":
+            return after == "⃣" or (before > "~" and (unicodedata.category(before)[0] in "SP" or unicodedata.category(before) == "Lo"))
+        return "\U000e0020" <= c <= "\U000e007f" or c in _SIGNS
+
+    return unicodedata.normalize("NFD", "".join(_unfold(c) for k, c in enumerate(value) if not _unseen(c) or shows(k, c)))
+
+
+def _run(letters: str) -> str:
+    """A run of letters read as Latin, if it holds a Latin letter and all others look like one."""
+    spelling = by_table(letters)
+    return spelling if all(_is_latin(c) for c in spelling if c.isalpha()) else letters
+
+
+def _word(word: str) -> str:
+    spelling = by_table(word)
+    return spelling if is_plain(spelling) else "".join(_run("".join(run)) for _, run in groupby(word, lambda c: unicodedata.category(c)[0] in "LM"))
+
+
 def canonical(value: str, vocabulary: Trie | None = None) -> str:
-    """The one spelling of ``value``; values that do not look like plain spelling stay as they are."""
+    """The one spelling of ``value``. Where the whole does not look like plain spelling, characters are unfolded and
+    composed and unseen ones go, but look-alikes are only read as Latin in words or runs of letters that are Latin then."""
     seen = symbols(value)
     spelling = (vocabulary.find(seen) if vocabulary else None) or by_table(seen)
-    return spelling if is_plain(spelling) else value
+    return spelling if is_plain(spelling) else unicodedata.normalize("NFC", "".join(_word(word) for word, _ in _words(shown(value))))
 
 
 @F.pandas_udf(StringType())
@@ -152,7 +190,8 @@ def _respell(odd: pd.DataFrame, plain: pd.DataFrame) -> pd.DataFrame:
     trie = Trie()
     for value, n in zip(plain["value"], plain["n"]):
         trie.add(value, n)
-    return pd.DataFrame({"value": odd["value"], "canonical": [canonical(v, trie) for v in odd["value"]], "n": odd["n"]})
+    spelled = [canonical(v, trie) for v in odd["value"]]
+    return pd.DataFrame({"value": odd["value"], "canonical": spelled, "plain": [is_plain(c) for c in spelled], "n": odd["n"]})
 
 
 def cells(records: DataFrame) -> DataFrame:
@@ -177,7 +216,7 @@ def cells(records: DataFrame) -> DataFrame:
 
 
 def spellings(found: DataFrame) -> DataFrame:
-    """(value, canonical, n) for every distinct value that is not made of plain characters alone.
+    """(value, canonical, plain, n) for every distinct value that is not made of plain characters alone.
 
     Plain values are the vocabulary. Values that may look the same fall into one shard, whose
     trie the odd values traverse; what matches nothing is normalised by the table alone.
@@ -187,14 +226,14 @@ def spellings(found: DataFrame) -> DataFrame:
     sharded = values.withColumn("shard", F.pmod(F.xxhash64(_skeleton("value")), F.lit(shards)))
     return (
         sharded.filter("odd").groupBy("shard").cogroup(sharded.filter("not odd").groupBy("shard"))
-        .applyInPandas(lambda odd, plain: _respell(odd, plain), "value string, canonical string, n bigint")
+        .applyInPandas(lambda odd, plain: _respell(odd, plain), "value string, canonical string, plain boolean, n bigint")
     )
 
 
 def respelled(records: DataFrame) -> DataFrame:
     """Every cell with its ``canonical`` value."""
     all_cells = cells(records)
-    changed = materialize(spellings(all_cells).filter("value <> canonical"), "spellings")
+    changed = materialize(spellings(all_cells).filter("value <> canonical"), "spellings").drop("plain")
     total = changed.agg(F.sum("n")).first()[0] or 0
     odd = F.coalesce(~F.col("value").rlike(PLAIN_PATTERN), F.lit(False))
     plain = all_cells.filter(~odd).withColumn("canonical", F.col("value"))
@@ -203,9 +242,9 @@ def respelled(records: DataFrame) -> DataFrame:
 
 
 def found_cells(records: DataFrame) -> DataFrame:
-    """(record_id, idx, field_name) of every cell whose value changes, once for all syllables of a token."""
+    """(record_id, idx, field_name) of every cell whose value changes to plain spelling, once for all syllables of a token."""
     all_cells = cells(records)
-    changed = materialize(spellings(all_cells).filter("value <> canonical"), "spellings")
+    changed = materialize(spellings(all_cells).filter("plain and value <> canonical"), "spellings")
     total = changed.agg(F.sum("n")).first()[0] or 0
     odd = all_cells.filter(~F.col("value").rlike(PLAIN_PATTERN))
     return balanced_lookup(odd, changed, ["value"], "n", total).select("record_id", "idx", "field_name").distinct()
