@@ -66,20 +66,18 @@ def fillings(stock: _Stock, room: int, allowed: int) -> list[Filling]:
     found: list[tuple[int, int, Filling]] = []
     steps = FILLING_STEPS
 
-    def extend(room: int, most: int, chosen: Filling) -> bool:
+    def extend(room: int, most: int, chosen: Filling) -> None:
         nonlocal steps
         s = largest_in(stock.sizes, min(room, most))
         if not s:
             if room <= allowed:
                 found.append((room, len(chosen), chosen))
-            return room == 0
+            return
         while s and steps > 0:
             if stock.count[s] > chosen.count(s):
                 steps -= 1
-                if extend(room - s, s, (*chosen, s)):
-                    return True
+                extend(room - s, s, (*chosen, s))
             s = largest_in(stock.sizes, s - 1)
-        return False
 
     extend(room, room, ())
     kept: list[Filling] = []
