@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators.hierarchy import PLAIN_LEVELS, ancestor_pairs, resolve
+from arbora.operators import hierarchy
+from arbora.operators.hierarchy import ancestor_pairs, resolve
 
 
 def _resolve(spark, rows):
@@ -27,7 +29,11 @@ def _brute(rows):
     return reached, endless
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(hierarchy, "BLOCK_NODES", block)
+    if block < 100:
+        monkeypatch.setattr(hierarchy, "BATCH_PATH", 50)
     draw = random.Random(3)
     rows = []
     for t in range(25):
@@ -37,7 +43,7 @@ def test_against_brute_force(spark):
             rows.append((f"t{t}", n, parent, "x", "y"))
     rows += rows[:20]  # repeated rows
     rows += [(None, 1, 2, "x", "y"), ("t0", None, 2, "x", "y")]  # nothing to place
-    rows += [("deep", n, n - 1 if n else None, "x", "y") for n in range(20 * PLAIN_LEVELS)]
+    rows += [("deep", n, n - 1 if n else None, "x", "y") for n in range(120)]
     rows += [("ring", n, (n + 1) % 50, "x", "y") for n in range(50)] + [("ring", 100 + n, 99 + n if n else 7, "x", "y") for n in range(40)]
     reached, endless, h = _resolve(spark, rows)
     assert (reached, endless) == _brute(rows)
