@@ -14,8 +14,7 @@ TERM_FIELDS = ["deprel", "upos", "form"]
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct deprel, upos and form with its occurrences, its sentences and its mark."""
     tokens = table(spark, sf_dir, "ud_tokens")
-    n_records = tokens.agg(F.countDistinct("sent_id")).first()[0]
-    counts = term_counts.count_terms(tokens, TERM_FIELDS, "sent_id", "idx")
+    counts, n_records = term_counts.count_terms(tokens, TERM_FIELDS, "sent_id", "idx")
     return term_counts.mark_terms(counts, n_records).select("field_name", "term", "occurrences", F.col("records").alias("sentences"), "mark")
 
 
@@ -39,23 +38,26 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train and a dev or test sentence that are the same or nearly so."""
-    pairs = split_overlap.overlaps(table(spark, sf_dir, "conllu_sentences"))
+    pairs = split_overlap.overlaps(table(spark, sf_dir, "conllu_sentences")).pairs
     return pairs.select(F.least("train_no", "eval_no").alias("sent_no_a"), F.greatest("train_no", "eval_no").alias("sent_no_b")).distinct()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and source in the metadata (whatever its case; empty where none is named): sentences, and those found in train."""
+    """Per evaluation split and source in the metadata (whatever its case; empty where none is named): sentences, those found
+    in train, and of the compared ones the forms, those in passages that train holds, and the sentences that are covered whole."""
     sentences = table(spark, sf_dir, "conllu_sentences")
-    hit = split_overlap.overlaps(sentences).groupBy(F.col("eval_no").alias("sent_no")).agg(
-        F.min("distance").alias("least"), F.count("*").alias("pairs")
-    )
+    found = split_overlap.overlaps(sentences)
+    hit = found.pairs.groupBy(F.col("eval_no").alias("sent_no")).agg(F.min("distance").alias("least"), F.count("*").alias("pairs"))
     source = F.lower(F.trim(F.coalesce(F.try_element_at("metadata", F.lit("source_name")), F.lit(""))))
     held = sentences.filter("split in ('dev', 'test')").select("sent_no", "split", source.alias("source_name"))
-    return held.join(hit, "sent_no", "left").groupBy("split", "source_name").agg(
+    return held.join(hit, "sent_no", "left").join(found.coverage.drop("split"), "sent_no", "left").groupBy("split", "source_name").agg(
         F.count("*").alias("sentences"),
         F.count("least").alias("overlapping"),
         F.count_if(F.col("least") == 0).alias("exact"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum("forms"), F.lit(0)).alias("forms"),
+        F.coalesce(F.sum("covered"), F.lit(0)).alias("covered_forms"),
+        F.count_if(F.col("covered") == F.col("forms")).alias("covered_whole"),
     )
 
 
@@ -171,8 +173,15 @@ SQL = {
     "p4_found": P4_SQL + """select * from (select min(record_id) over (partition by sent, forms) as first_record_id, record_id from named) where record_id <> first_record_id""",
     "p4_records": P4_SQL + "select min(record_id) as first_record_id, count(*) as copies from named group by sent, forms",
     "p5_found": f"{P5_SQL} select least(a, b) as sent_no_a, greatest(a, b) as sent_no_b from grid where {_NEAR}",
-    "p5_report": f"""{P5_SQL}, hit as (select b as sent_no, min(row[len(y) + 1]) as least, count(*) as pairs from grid where {_NEAR} group by b)
-select s.split, lower(trim(coalesce(s.metadata['source_name'], ''))) as source_name, count(*) as sentences, count(least) as overlapping, count_if(coalesce(least = 0, false))::bigint as exact, coalesce(sum(pairs), 0)::bigint as pairs
-from conllu_sentences s left join hit using (sent_no) where s.split in ('dev', 'test') group by 1, 2""",
+    "p5_report": f"""{P5_SQL}, hit as (select b as sent_no, min(row[len(y) + 1]) as least, count(*) as pairs from grid where {_NEAR} group by b),
+cut as (select sent_no, f, len(f) as n, least(len(f), greatest(15 * (len(f) * 100 // 85) // 100 + 2, len(f) // 3)) as parts from lists where split <> 'train'),
+piece as (select sent_no, n, f[n * k // parts + 1 : n * (k + 1) // parts] as p from (select *, unnest(range(0, parts)) as k from cut)),
+train as (select distinct chr(31) || array_to_string(f, chr(31)) || chr(31) as t from lists where split = 'train'),
+wanted as (select distinct p, chr(31) || array_to_string(p, chr(31)) || chr(31) as w from piece),
+stands as (select p from wanted where exists (select 1 from train where contains(t, w))),
+cover as (select sent_no, any_value(n) as forms, coalesce(sum(len(p)) filter (where p in (select p from stands)), 0) as covered from piece group by 1)
+select s.split, lower(trim(coalesce(s.metadata['source_name'], ''))) as source_name, count(*) as sentences, count(least) as overlapping, count_if(coalesce(least = 0, false))::bigint as exact, coalesce(sum(pairs), 0)::bigint as pairs,
+  coalesce(sum(forms), 0)::bigint as forms, coalesce(sum(covered), 0)::bigint as covered_forms, count_if(coalesce(covered = forms, false))::bigint as covered_whole
+from conllu_sentences s left join hit using (sent_no) left join cover using (sent_no) where s.split in ('dev', 'test') group by 1, 2""",
     "p7_decoded": "select doc_id, true as same, length(coalesce(text, ''))::int as n_chars, length(coalesce(text, '')) > 0 as has_tokens from documents",
 }

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.storage import materialize
+
 #: A term is heavy if it may fill more than this share of the rows: at most 1/HEAVY_SHARE terms of a field.
 HEAVY_SHARE = 0.005
+#: Longer terms count as light, however frequent: so what is broadcast has a fixed bound. They are counted as exactly.
+HEAVY_CHARS = 500
 
 _COUNTS = "field_name string, term string, occurrences bigint, records bigint"
 
@@ -18,58 +22,113 @@ _COUNTS = "field_name string, term string, occurrences bigint, records bigint"
 def heavy_values(rows: DataFrame, fields: list[str]) -> dict[str, list]:
     """All values with more than HEAVY_SHARE of the rows (and perhaps a few others), found in one pass of
     bounded counters; at most 1/HEAVY_SHARE values for each field."""
-    found = rows.select(*fields).stat.freqItems(fields, HEAVY_SHARE).first()
-    return {f: [t for t in values or [] if t is not None] for f, values in zip(fields, found)}
+    found = rows.select(*[F.substring(f, 1, HEAVY_CHARS + 1).alias(f) for f in fields]).stat.freqItems(fields, HEAVY_SHARE).first()
+    return {f: [t for t in values or [] if t is not None and len(t) <= HEAVY_CHARS] for f, values in zip(fields, found)}
+
 
+class _Counters:
+    """Exact counts of one task over rows sorted by record: an array slot for each heavy term, and what each batch says of the others.
 
-def count_terms(rows: DataFrame, fields: list[str], record: str, position: str) -> DataFrame:
-    """(field_name, term, occurrences, records) for every distinct non-null value of ``fields``.
+    Only the last record stays open from batch to batch, as the set of its terms.
+    """
+
+    def __init__(self, fields: list[str], heavy: list[dict[str, int]]) -> None:
+        self.fields, self.heavy = fields, heavy
+        self.occurrences = [np.zeros(len(h), np.int64) for h in heavy]
+        self.records_with = [np.zeros(len(h), np.int64) for h in heavy]
+        self.open = [set() for _ in fields]
+        self.last: tuple | None = None
+        self.records = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Counts the batch; gives (field, terms, occurrences, records) of the light terms."""
+        encoded = [column.dictionary_encode() for column in batch.columns]
+        code = [e.indices.fill_null(-1).to_numpy(zero_copy_only=False) for e in encoded]
+        first, last = (tuple(column[k].as_py() for column in batch.columns) for k in (0, batch.num_rows - 1))
+        same_record = np.diff(code[0], prepend=-2) == 0
+        new = ~np.logical_and.reduce([same_record, *(np.diff(c, prepend=-2) == 0 for c in code[1:])])
+        goes_on = self.last is not None and first[0] is not None and first[0] == self.last[0]
+        if first == self.last:
+            new[0] = False
+        run = np.cumsum(~same_record) - 1
+        placed = code[0] >= 0
+        self.records += int((~same_record & placed).sum()) - goes_on
+        for k, field in enumerate(self.fields):
+            c, terms = code[k + 2], encoded[k + 2].dictionary
+            there = c >= 0
+            occurrences = np.bincount(c[there & new], minlength=len(terms))
+            pairs = np.unique(run[there & placed].astype(np.int64) * max(1, len(terms)) + c[there & placed])
+            of, term = np.divmod(pairs, max(1, len(terms)))
+            words = terms.to_pylist()
+            now = {words[t] for t in term[of == run[-1]]}
+            if goes_on:
+                known = np.fromiter((o == 0 and words[t] in self.open[k] for o, t in zip(of, term)), bool, len(of)) if self.open[k] else np.zeros(len(of), bool)
+                term = term[~known]
+                if run[-1] == 0:
+                    now |= self.open[k]
+            self.open[k] = now
+            records = np.bincount(term, minlength=len(terms))
+            slot = np.fromiter((self.heavy[k].get(w, -1) for w in words), np.int64, len(words))
+            np.add.at(self.occurrences[k], slot[slot >= 0], occurrences[slot >= 0])
+            np.add.at(self.records_with[k], slot[slot >= 0], records[slot >= 0])
+            light = np.flatnonzero((slot < 0) & (occurrences + records > 0))
+            yield field, terms.take(pa.array(light)), occurrences[light], records[light]
+        self.last = last
+
+    def total(self) -> Iterator[tuple]:
+        """Counts of the heavy terms, and of the records as the null field."""
+        for k, field in enumerate(self.fields):
+            seen = np.flatnonzero(self.occurrences[k])
+            yield field, pa.array([w for w in self.heavy[k]], pa.string()).take(pa.array(seen)), self.occurrences[k][seen], self.records_with[k][seen]
+        yield None, pa.nulls(1, pa.string()), np.zeros(1, np.int64), np.array([self.records])
+
+
+def _batch(field: str | None, terms: pa.Array, occurrences: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([field] * len(terms), pa.string()), terms.cast(pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["field_name", "term", "occurrences", "records"])
+
+
+def count_terms(rows: DataFrame, fields: list[str], record: str, position: str) -> tuple[DataFrame, int]:
+    """((field_name, term, occurrences, records) for every distinct non-null value of ``fields``, number of records).
 
     A term is a value exactly as stored; the empty text is one, null is none. Rows that repeat
     (record, position) with the same content count once. Rows with a null record count as
-    occurrences but lie in no record. An empty table gives no rows.
+    occurrences but lie in no record. An empty table gives no rows and no records.
 
-    Rows meet by record once, so each record's terms are distinct within a partition. Heavy
-    terms are then counted in arrays in place and leave a partition as one row each; only the
-    other terms are shuffled, pre-aggregated. Records that may hold more than HEAVY_SHARE of
-    the rows do not meet in one task: their rows meet by term as well. No cap: all parts are
-    exact and are united.
+    Rows are exchanged once, by record, and sorted, so that repeats and the terms of a record
+    stand together. Heavy terms, broadcast, are then counted in arrays in place and leave a task
+    as one row each; only the other terms are shuffled, pre-aggregated, and both count tables are
+    united. Records that may hold more than HEAVY_SHARE of the rows do not meet in one task:
+    their rows are pre-aggregated by record and term. No cap: all parts are exact.
     """
     values = heavy_values(rows, [*fields, record])
     large = values.pop(record)
-    heavy = pd.DataFrame([(f, t) for f, terms in values.items() for t in terms], columns=["field_name", "term"])
-    heavy_index = pd.MultiIndex.from_frame(heavy)
-    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *fields).distinct()
-
-    def distinct_terms(part: DataFrame) -> DataFrame:
-        term = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields]))
-        return (
-            part.select("r", "k", term.alias("t")).filter("t.term is not null")
-            .groupBy("k", "r", F.col("t.field_name").alias("field_name"), F.col("t.term").alias("term")).agg(F.count("*").alias("occurrences"))
-            .select("field_name", "term", "occurrences", F.col("r").isNotNull().cast("bigint").alias("records"))
-        )
-
-    # rows without a record lie in none, so they need not meet; their key spreads them
-    keyed = each.withColumn("k", F.when(F.col("r").isNull(), F.xxhash64("p", *fields)).otherwise(F.xxhash64("r")))
+    shared = rows.sparkSession.sparkContext.broadcast([{t: k for k, t in enumerate(values[f])} for f in fields])
+    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)])
+    content = [f"f{k}" for k in range(len(fields))]
     is_large = F.coalesce(F.col("r").isin(large), F.lit(False)) if large else F.lit(False)
-    terms = distinct_terms(keyed.filter(~is_large).repartition("k"))
-    if large:
-        terms = terms.unionByName(distinct_terms(keyed.filter(is_large)))
+    # rows without a record lie in none, so they need not meet; their key spreads them
+    key = F.when(F.col("r").isNull(), F.xxhash64("p", *content)).otherwise(F.xxhash64("r"))
+    sorted_rows = each.filter(~is_large).withColumn("k", key).repartition("k").sortWithinPartitions("k", "r", "p", *content).drop("k")
 
-    def local_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        occurrences, records = np.zeros(len(heavy_index), np.int64), np.zeros(len(heavy_index), np.int64)
+    def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = _Counters(fields, shared.value)
         for batch in batches:
-            at = heavy_index.get_indexer(pd.MultiIndex.from_frame(batch[["field_name", "term"]])) if len(heavy_index) else np.full(len(batch), -1)
-            is_heavy = at >= 0
-            np.add.at(occurrences, at[is_heavy], batch["occurrences"].to_numpy()[is_heavy])
-            np.add.at(records, at[is_heavy], batch["records"].to_numpy()[is_heavy])
-            yield batch[~is_heavy]
-        seen = occurrences > 0
-        if seen.any():
-            yield heavy[seen].assign(occurrences=occurrences[seen], records=records[seen])
-
-    counted = terms.mapInPandas(local_counts, _COUNTS)
-    return counted.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+            if batch.num_rows:
+                for part in counters.add(batch):
+                    yield _batch(*part)
+        for part in counters.total():
+            yield _batch(*part)
+
+    parts = sorted_rows.mapInArrow(local_counts, _COUNTS)
+    if large:
+        once = each.filter(is_large).distinct()
+        terms = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(c).alias("term")) for f, c in zip(fields, content)], F.struct(F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("term"))))
+        met = once.select("r", terms.alias("t")).filter("t.term is not null or t.field_name is null").groupBy("r", "t.field_name", "t.term").agg(F.count("*").alias("occurrences"))
+        parts = parts.unionByName(met.select("field_name", "term", "occurrences", F.lit(1).cast("bigint").alias("records")))
+    counted = materialize(parts.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "terms")
+    total = counted.filter("field_name is null").first()
+    return counted.filter("field_name is not null"), total["records"] if total else 0
 
 
 def mark_terms(counts: DataFrame, n_records: int) -> DataFrame:

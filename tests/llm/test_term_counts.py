@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from arbora.llm import catalog, term_counts
@@ -11,7 +13,35 @@ def test_query_equals_sql(spark, name):
 
 def _counts(spark, rows):
     df = spark.createDataFrame(rows, "sent_id string, idx int, upos string, form string, term string, occurrences string")
-    return {(r.field_name, r.term): (r.occurrences, r.records) for r in term_counts.count_terms(df, ["upos", "form"], "sent_id", "idx").collect()}
+    counts, n_records = term_counts.count_terms(df, ["upos", "form"], "sent_id", "idx")
+    assert n_records == len({r[0] for r in rows if r[0] is not None})
+    return {(r.field_name, r.term): (r.occurrences, r.records) for r in counts.collect()}
+
+
+def _brute(rows):
+    found = {}
+    for r, p, *values in {row[:4] for row in rows}:
+        for field, v in zip(("upos", "form"), values):
+            if v is not None:
+                n, records = found.setdefault((field, v), [0, set()])
+                found[field, v][0] = n + 1
+                records |= {r} - {None}
+    return {k: (n, len(records)) for k, (n, records) in found.items()}
+
+
+def test_records_over_batches(spark):
+    """Records that go on from batch to batch, repeats at the seams, a record with a third of all rows, a giant frequent term."""
+    draw = random.Random(8)
+    rows = [(f"s{draw.randrange(40)}", draw.randrange(60), draw.choice("ABC"), f"w{draw.randrange(9)}", "c", "d") for _ in range(1500)]
+    rows += [("giant", k, draw.choice("AB"), draw.choice(["hot", f"g{k}", "x" * 5000]), "c", "d") for k in range(700)]
+    rows += [(None, k % 7, "A", f"n{k % 3}", "c", "d") for k in range(60)]
+    rows += draw.sample(rows, 300)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        assert _counts(spark, rows) == _brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_heavy_and_light_terms(spark):
