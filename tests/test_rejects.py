@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 
 from arbora.operators import rejects
@@ -31,7 +33,7 @@ def test_reasons(spark):
     assert parse_lines(df.limit(0), labels).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 3, 8192])
+@pytest.mark.parametrize("block", [1, 2, 3, 4096])
 def test_sentences_span_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(rejects, "BLOCK_LINES", block)
     texts = ["", _row(), _row(id="2", head="5", deprel="dep"), _row(id="3", head="1", deprel="dep"), _row(id="5", head="1", deprel="dep"), "", _row(), _row(id="2", head="5", deprel="dep")]
@@ -43,3 +45,28 @@ def test_sentences_span_blocks(spark, monkeypatch, block):
 def test_columns_stand_as_they_are():
     assert split_row("a\t b \t") == (["a", " b ", ""], "columns")
     assert split_row('"a\tb"\t')[0] == ['"a', 'b"', ""]
+
+
+QUOTED = [(_row(m='a"b'), "quoting"), (_row(m='"a'), "quoting"), (_row(d='"', m='"'), "quoting"), (_row(m='a"b"c'), None), (_row(m='"a" "b"'), None), (_row(form='a"', m='""""'), None), (_row(d='x"', m='"y'), "quoting"), (_row(id='"1"'), None)]
+
+
+def test_quotes_in_columns():
+    for row, reason in QUOTED:
+        assert split_row(row) == (row.split("\t"), reason), row
+
+
+def test_the_csv_reader_decides(monkeypatch):
+    """A plain split in place of the reader finds no damaged quotes."""
+    monkeypatch.setattr(csv, "reader", lambda rows, **_: iter([r.split("\t") for r in rows]))
+    assert [split_row(row)[1] for row, reason in QUOTED if reason] == [None] * 4
+    assert split_row(_row(m='a"b"c'))[0][9] != 'a"b"c'  # and leaves the enclosing quotes
+
+
+def test_sentence_without_blank_lines_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rejects, "BLOCK_LINES", 5)
+    lines = [("f", k, _row(id=str(k), head="0" if k == 1 else str(k + 1), deprel="root" if k == 1 else "dep")) for k in range(1, 60)]
+    lines += [("g", k, t) for k, t in enumerate([_row(), "", "# c", "", _row(id="7", head="9", deprel="dep"), _row(id="9" * 5000, head="7", deprel="dep")], 1)] * 3
+    df = spark.createDataFrame(lines, "file_name string, line_number int, line_text string")
+    parsed = parse_lines(df, spark.createDataFrame([("root",), ("dep",)], "label string")).collect()
+    assert len(parsed) == 59 + 3 and [(r.file_name, r.line_number, r.reason) for r in parsed if r.reason] == [("f", 59, "head_range")]
+    assert {(r.line_number, r.sentence) for r in parsed if r.file_name == "g"} == {(1, 0), (5, 4), (6, 4)} and {r.sentence for r in parsed if r.file_name == "f"} == {0}
