@@ -15,6 +15,8 @@ from arbora.storage import materialize
 HEAVY_SHARE = 0.005
 #: Longer terms count as light, however frequent: so what is broadcast has a fixed bound. They are counted as exactly.
 HEAVY_CHARS = 500
+#: Positions of a record that may meet in one value.
+RECORD_ROWS = 1024
 
 _COUNTS = "field_name string, term string, occurrences bigint, records bigint"
 
@@ -27,59 +29,37 @@ def heavy_values(rows: DataFrame, fields: list[str]) -> dict[str, list]:
 
 
 class _Counters:
-    """Exact counts of one task over rows sorted by record: an array slot for each heavy term, and what each batch says of the others.
-
-    Only the last record stays open from batch to batch, as the set of its terms.
-    """
+    """Exact counts of one task over whole records: an array slot for each heavy term, and what each batch says of the others."""
 
     def __init__(self, fields: list[str], heavy: list[dict[str, int]]) -> None:
         self.fields, self.heavy = fields, heavy
         self.occurrences = [np.zeros(len(h), np.int64) for h in heavy]
         self.records_with = [np.zeros(len(h), np.int64) for h in heavy]
-        self.open = [set() for _ in fields]
-        self.last: tuple | None = None
         self.records = 0
 
-    def add(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """Counts the batch; gives (field, terms, occurrences, records) of the light terms."""
-        encoded = [column.dictionary_encode() for column in batch.columns]
-        code = [e.indices.fill_null(-1).to_numpy(zero_copy_only=False) for e in encoded]
-        first, last = (tuple(column[k].as_py() for column in batch.columns) for k in (0, batch.num_rows - 1))
-        same_record = np.diff(code[0], prepend=-2) == 0
-        new = ~np.logical_and.reduce([same_record, *(np.diff(c, prepend=-2) == 0 for c in code[1:])])
-        goes_on = self.last is not None and first[0] is not None and first[0] == self.last[0]
-        if first == self.last:
-            new[0] = False
-        run = np.cumsum(~same_record) - 1
-        placed = code[0] >= 0
-        self.records += int((~same_record & placed).sum()) - goes_on
+    def add(self, rows: pa.ListArray) -> Iterator[tuple]:
+        """Counts a batch of records, each the list of its rows; gives (field, terms, occurrences, records) of the light terms."""
+        self.records += len(rows)
+        of = np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+        each = rows.flatten()
         for k, field in enumerate(self.fields):
-            c, terms = code[k + 2], encoded[k + 2].dictionary
-            there = c >= 0
-            occurrences = np.bincount(c[there & new], minlength=len(terms))
-            pairs = np.unique(run[there & placed].astype(np.int64) * max(1, len(terms)) + c[there & placed])
-            of, term = np.divmod(pairs, max(1, len(terms)))
-            words = terms.to_pylist()
-            now = {words[t] for t in term[of == run[-1]]}
-            if goes_on:
-                known = np.fromiter((o == 0 and words[t] in self.open[k] for o, t in zip(of, term)), bool, len(of)) if self.open[k] else np.zeros(len(of), bool)
-                term = term[~known]
-                if run[-1] == 0:
-                    now |= self.open[k]
-            self.open[k] = now
-            records = np.bincount(term, minlength=len(terms))
+            encoded = each.field(f"f{k}").dictionary_encode()
+            code, words = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
+            there = code >= 0
+            occurrences = np.bincount(code[there], minlength=len(words))
+            pairs = np.unique(of[there] * max(1, len(words)) + code[there])
+            records = np.bincount(pairs % max(1, len(words)), minlength=len(words))
             slot = np.fromiter((self.heavy[k].get(w, -1) for w in words), np.int64, len(words))
             np.add.at(self.occurrences[k], slot[slot >= 0], occurrences[slot >= 0])
             np.add.at(self.records_with[k], slot[slot >= 0], records[slot >= 0])
-            light = np.flatnonzero((slot < 0) & (occurrences + records > 0))
-            yield field, terms.take(pa.array(light)), occurrences[light], records[light]
-        self.last = last
+            light = np.flatnonzero(slot < 0)
+            yield field, encoded.dictionary.take(pa.array(light)), occurrences[light], records[light]
 
     def total(self) -> Iterator[tuple]:
         """Counts of the heavy terms, and of the records as the null field."""
         for k, field in enumerate(self.fields):
             seen = np.flatnonzero(self.occurrences[k])
-            yield field, pa.array([w for w in self.heavy[k]], pa.string()).take(pa.array(seen)), self.occurrences[k][seen], self.records_with[k][seen]
+            yield field, pa.array(list(self.heavy[k]), pa.string()).take(pa.array(seen)), self.occurrences[k][seen], self.records_with[k][seen]
         yield None, pa.nulls(1, pa.string()), np.zeros(1, np.int64), np.array([self.records])
 
 
@@ -95,37 +75,42 @@ def count_terms(rows: DataFrame, fields: list[str], record: str, position: str)
     (record, position) with the same content count once. Rows with a null record count as
     occurrences but lie in no record. An empty table gives no rows and no records.
 
-    Rows are exchanged once, by record, and sorted, so that repeats and the terms of a record
-    stand together. Heavy terms, broadcast, are then counted in arrays in place and leave a task
-    as one row each; only the other terms are shuffled, pre-aggregated, and both count tables are
-    united. Records that may hold more than HEAVY_SHARE of the rows do not meet in one task:
-    their rows are pre-aggregated by record and term. No cap: all parts are exact.
+    Rows meet once, by record, repeats pre-aggregated before. Heavy terms, broadcast, are then
+    counted in arrays in place and leave a task as one row each; only the other terms are
+    shuffled, pre-aggregated, and both count tables are united. Records with positions beyond
+    RECORD_ROWS, and rows without record or position, do not meet in one value: they are
+    pre-aggregated by record and term. A (record, position) is taken to have few different contents.
+    No cap: all parts are exact.
     """
-    values = heavy_values(rows, [*fields, record])
-    large = values.pop(record)
+    values = heavy_values(rows, fields)
     shared = rows.sparkSession.sparkContext.broadcast([{t: k for k, t in enumerate(values[f])} for f in fields])
-    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)])
     content = [f"f{k}" for k in range(len(fields))]
-    is_large = F.coalesce(F.col("r").isin(large), F.lit(False)) if large else F.lit(False)
-    # rows without a record lie in none, so they need not meet; their key spreads them
-    key = F.when(F.col("r").isNull(), F.xxhash64("p", *content)).otherwise(F.xxhash64("r"))
-    sorted_rows = each.filter(~is_large).withColumn("k", key).repartition("k").sortWithinPartitions("k", "r", "p", *content).drop("k")
+    each = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), *[F.col(f).cast("string").alias(c) for f, c in zip(fields, content)])
+    within = F.col("r").isNotNull() & F.coalesce(F.col("p").between(0, RECORD_ROWS - 1), F.lit(False))
+    apart = each.filter(~within)
+    together = each.filter(within)
+    if not apart.isEmpty():
+        long = materialize(apart.select("r").filter("r is not null").distinct(), "long")
+        apart = apart.unionByName(together.join(long, "r", "left_semi"))
+        together = together.join(long, "r", "left_anti")
+    else:
+        apart = None
 
     def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = _Counters(fields, shared.value)
         for batch in batches:
-            if batch.num_rows:
-                for part in counters.add(batch):
-                    yield _batch(*part)
+            for part in counters.add(batch.column(0)):
+                yield _batch(*part)
         for part in counters.total():
             yield _batch(*part)
 
-    parts = sorted_rows.mapInArrow(local_counts, _COUNTS)
-    if large:
-        once = each.filter(is_large).distinct()
-        terms = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(c).alias("term")) for f, c in zip(fields, content)], F.struct(F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("term"))))
-        met = once.select("r", terms.alias("t")).filter("t.term is not null or t.field_name is null").groupBy("r", "t.field_name", "t.term").agg(F.count("*").alias("occurrences"))
-        parts = parts.unionByName(met.select("field_name", "term", "occurrences", F.lit(1).cast("bigint").alias("records")))
+    records = together.groupBy("r").agg(F.collect_set(F.struct("p", *content)).alias("rows"))
+    parts = records.select("rows").mapInArrow(local_counts, _COUNTS)
+    if apart is not None:
+        none = F.lit(None).cast("string")
+        terms = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(c).alias("term")) for f, c in zip(fields, content)], F.struct(none.alias("field_name"), none.alias("term"))))
+        met = apart.distinct().select("r", terms.alias("t")).filter("t.term is not null or t.field_name is null").groupBy("r", "t.field_name", "t.term").agg(F.count("*").alias("occurrences"))
+        parts = parts.unionByName(met.select("field_name", "term", "occurrences", F.col("r").isNotNull().cast("bigint").alias("records")))
     counted = materialize(parts.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "terms")
     total = counted.filter("field_name is null").first()
     return counted.filter("field_name is not null"), total["records"] if total else 0

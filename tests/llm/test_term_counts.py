@@ -29,19 +29,15 @@ def _brute(rows):
     return {k: (n, len(records)) for k, (n, records) in found.items()}
 
 
-def test_records_over_batches(spark):
-    """Records that go on from batch to batch, repeats at the seams, a record with a third of all rows, a giant frequent term."""
+def test_long_records(spark, monkeypatch):
+    """A record with a third of all rows, rows without record or position, repeats, a frequent term of great length."""
+    monkeypatch.setattr(term_counts, "RECORD_ROWS", 64)
     draw = random.Random(8)
     rows = [(f"s{draw.randrange(40)}", draw.randrange(60), draw.choice("ABC"), f"w{draw.randrange(9)}", "c", "d") for _ in range(1500)]
     rows += [("giant", k, draw.choice("AB"), draw.choice(["hot", f"g{k}", "x" * 5000]), "c", "d") for k in range(700)]
-    rows += [(None, k % 7, "A", f"n{k % 3}", "c", "d") for k in range(60)]
+    rows += [(None, k % 7, "A", f"n{k % 3}", "c", "d") for k in range(60)] + [("s1", None, "B", "w1", "c", "d"), ("s2", -1, "B", "w2", "c", "d")]
     rows += draw.sample(rows, 300)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
-    try:
-        assert _counts(spark, rows) == _brute(rows)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert _counts(spark, rows) == _brute(rows)
 
 
 def test_heavy_and_light_terms(spark):
