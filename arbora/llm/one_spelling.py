@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from arbora.operators.skew import balanced_lookup
 from arbora.storage import materialize
 
 #: Distinct values that one trie holds.
-SHARD_VALUES = 50_000
+SHARD_VALUES = 4_000
+#: What the automaton charges for a symbol that is put in, left out or replaced; look-alikes, variants and ignorables cost nothing.
+EDIT_COST = 1
+#: Values that look the same are at cost 0; a larger bound would also find values that are only spelt alike.
+MOST_COST = 0
 
 # Letters of other scripts (or other Latin letters) that look like a Latin letter.
 LOOK_ALIKES = {
@@ -43,7 +46,7 @@ _UNJOINED = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGU
 _SIGNS = frozenset("\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd")
 _ASCII_SPACE = frozenset(" \t\n\r\x0b\x0c")
 #: For the JVM: values made of these alone need no look.
-PLAIN_PATTERN = "^[ -~\\t\\n\\r\\x0b\\x0c" + "".join(sorted(c for c in VIETNAMESE if ord(c) > 126)) + "]*$"
+PLAIN_PATTERN = "^[ -~\\t\\n\\r\\x0b\\x0c" + "".join(sorted(c for c in VIETNAMESE if ord(c) > 126)) + r"]*\z"
 
 _LATIN_OF: dict[str, list[str]] = {}
 for _latin, _others in LOOK_ALIKES.items():
@@ -117,28 +120,92 @@ for _all in _LATIN_OF.values():
         _CLASS[_x] = _least
 
 
+def clusters(value: str) -> Iterable[tuple[tuple[str, ...], str]]:
+    """The value as the automaton reads it: for each seen character all that it may stand for at no cost, and the marks on it in canonical order.
+
+    Ignorables are passed over, also between a letter and its marks. Look-alikes may stand for a
+    Latin letter only in a word that holds a Latin letter, for words wholly in another script are ordinary.
+    """
+    raw = [(c, _unfold(c)) for c in value if not _unseen(c)]
+    mixed: list[bool] = []
+    for blank, run in groupby(raw, key=lambda x: x[1].isspace()):
+        word = list(run)
+        mixed += [not blank and any(_is_latin(u) for _, seen in word for u in seen)] * len(word)
+    base, marks = None, ""
+    for (_, seen), is_mixed in zip(raw, mixed):
+        for u in seen:
+            if base is not None and unicodedata.combining(u):
+                marks += u
+                continue
+            if base is not None:
+                yield base, unicodedata.normalize("NFD", "a" + marks)[1:]
+            base, marks = ((u, *_LATIN_OF.get(u, ())) if is_mixed else (u,)), ""
+    if base is not None:
+        yield base, unicodedata.normalize("NFD", "a" + marks)[1:]
+
+
 class Trie:
-    """Vocabulary with its frequencies; look-ups pass look-alikes at no cost and any other edit not at all."""
+    """Vocabulary with its frequencies, traversed by a weighted edit automaton on the raw value."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.children: list[dict[str, int]] = [{}]
+        self.words: dict[int, tuple[int, str]] = {}
 
     def add(self, word: str, n: int) -> None:
-        node = self.root
-        for c in symbols(word):
-            node = node.setdefault(c, {})
-        if n > node.get("", (0, ""))[0]:
-            node[""] = (n, word)
-
-    def find(self, seen: str) -> str | None:
-        """The spelling of cost zero; of several the most frequent, then the first by code points."""
-        states = [self.root]
-        for choice in options(seen):
-            states = [node[c] for node in states for c in choice if c in node]
+        node = 0
+        for c in unicodedata.normalize("NFD", word):
+            if c not in self.children[node]:
+                self.children[node][c] = len(self.children)
+                self.children.append({})
+            node = self.children[node][c]
+        if n > self.words.get(node, (0, ""))[0]:
+            self.words[node] = (n, word)
+
+    def _settle(self, states: dict[int, int], most: int) -> dict[int, int]:
+        """With the states that symbols put in lead to."""
+        waiting = list(states.items())
+        for node, cost in waiting:
+            if cost + EDIT_COST <= most:
+                for child in self.children[node].values():
+                    if states.get(child, most + 1) > cost + EDIT_COST:
+                        states[child] = cost + EDIT_COST
+                        waiting.append((child, cost + EDIT_COST))
+        return states
+
+    def _read(self, states: dict[int, int], symbol: str, most: int) -> dict[int, int]:
+        reached: dict[int, int] = {}
+
+        def reach(node: int, cost: int) -> None:
+            if cost < reached.get(node, most + 1):
+                reached[node] = cost
+
+        for node, cost in states.items():
+            child = self.children[node].get(symbol)
+            if child is not None:
+                reach(child, cost)
+            if cost + EDIT_COST <= most:
+                reach(node, cost + EDIT_COST)
+                for other in self.children[node].values():
+                    reach(other, cost + EDIT_COST)
+        return self._settle(reached, most)
+
+    def find(self, value: str, most: int = MOST_COST) -> str | None:
+        """The word at the least cost up to ``most``; of several the most frequent, then the first by code points."""
+        states = self._settle({0: 0}, most)
+        for base, marks in clusters(value):
+            met: dict[int, int] = {}
+            for symbol in base:
+                reached = states
+                for c in symbol + marks:
+                    reached = self._read(reached, c, most)
+                for node, cost in reached.items():
+                    if cost < met.get(node, most + 1):
+                        met[node] = cost
+            states = met
             if not states:
                 return None
-        ends = [s[""] for s in states if "" in s]
-        return min(ends, key=lambda e: (-e[0], e[1]))[1] if ends else None
+        ends = [(cost, -self.words[node][0], self.words[node][1]) for node, cost in states.items() if node in self.words]
+        return min(ends)[2] if ends else None
 
 
 @lru_cache(maxsize=65536)
@@ -174,10 +241,11 @@ def _word(word: str) -> str:
 
 
 def canonical(value: str, vocabulary: Trie | None = None) -> str:
-    """The one spelling of ``value``. Where the whole does not look like plain spelling, characters are unfolded and
+    """The one spelling of ``value``: that of the vocabulary, if it looks so, else by table. Where the whole does not look like plain spelling, characters are unfolded and
     composed and unseen ones go, but look-alikes are only read as Latin in words or runs of letters that are Latin then."""
-    seen = symbols(value)
-    spelling = (vocabulary.find(seen) if vocabulary else None) or by_table(seen)
+    spelling = vocabulary.find(value) if vocabulary else None
+    if spelling is None:
+        spelling = by_table(symbols(value))
     return spelling if is_plain(spelling) else unicodedata.normalize("NFC", "".join(_word(word) for word, _ in _words(shown(value))))
 
 
@@ -215,36 +283,40 @@ def cells(records: DataFrame) -> DataFrame:
     return tokens.unionByName(register).select("record_id", "idx", "c.field_name", "c.position", "c.value").filter("value is not null")
 
 
-def spellings(found: DataFrame) -> DataFrame:
+def _texts(records: DataFrame):
+    """All forms, syllables and the register of a record as one array."""
+    none = F.array().cast("array<string>")
+    syllables = F.flatten(F.filter(F.col("tokens.syllables"), lambda s: s.isNotNull()))
+    return F.concat(F.coalesce(F.col("tokens.form"), none), F.coalesce(syllables, none), F.array("register"))
+
+
+def spellings(records: DataFrame) -> DataFrame:
     """(value, canonical, plain, n) for every distinct value that is not made of plain characters alone.
 
     Plain values are the vocabulary. Values that may look the same fall into one shard, whose
     trie the odd values traverse; what matches nothing is normalised by the table alone.
     """
+    found = records.select(F.explode(_texts(records)).alias("value")).filter("value is not null")
     values = materialize(found.groupBy("value").agg(F.count("*").alias("n")).withColumn("odd", ~F.col("value").rlike(PLAIN_PATTERN)), "values")
     shards = max(1, -(-values.count() // SHARD_VALUES))
     sharded = values.withColumn("shard", F.pmod(F.xxhash64(_skeleton("value")), F.lit(shards)))
-    return (
-        sharded.filter("odd").groupBy("shard").cogroup(sharded.filter("not odd").groupBy("shard"))
-        .applyInPandas(lambda odd, plain: _respell(odd, plain), "value string, canonical string, plain boolean, n bigint")
-    )
+    odd, plain = (sharded.filter(c).repartition(shards, "shard").groupBy("shard") for c in ("odd", "not odd"))
+    return odd.cogroup(plain).applyInPandas(lambda a, b: _respell(a, b), "value string, canonical string, plain boolean, n bigint")
 
 
 def respelled(records: DataFrame) -> DataFrame:
     """Every cell with its ``canonical`` value."""
+    changed = materialize(spellings(records).filter("value <> canonical"), "spellings").select("value", "canonical")
     all_cells = cells(records)
-    changed = materialize(spellings(all_cells).filter("value <> canonical"), "spellings").drop("plain")
-    total = changed.agg(F.sum("n")).first()[0] or 0
     odd = F.coalesce(~F.col("value").rlike(PLAIN_PATTERN), F.lit(False))
     plain = all_cells.filter(~odd).withColumn("canonical", F.col("value"))
-    rest = balanced_lookup(all_cells.filter(odd), changed, ["value"], "n", total, "left").withColumn("canonical", F.coalesce("canonical", "value"))
+    rest = all_cells.filter(odd).join(changed, "value", "left").withColumn("canonical", F.coalesce("canonical", "value"))
     return plain.unionByName(rest)
 
 
 def found_cells(records: DataFrame) -> DataFrame:
     """(record_id, idx, field_name) of every cell whose value changes to plain spelling, once for all syllables of a token."""
-    all_cells = cells(records)
-    changed = materialize(spellings(all_cells).filter("plain and value <> canonical"), "spellings")
-    total = changed.agg(F.sum("n")).first()[0] or 0
-    odd = all_cells.filter(~F.col("value").rlike(PLAIN_PATTERN))
-    return balanced_lookup(odd, changed, ["value"], "n", total).select("record_id", "idx", "field_name").distinct()
+    changed = materialize(spellings(records).filter("plain and value <> canonical"), "spellings").select("value")
+    with_odd = records.filter(~F.array_join(_texts(records), " ").rlike(PLAIN_PATTERN))
+    odd = cells(with_odd).filter(~F.col("value").rlike(PLAIN_PATTERN))
+    return odd.join(changed, "value", "left_semi").select("record_id", "idx", "field_name").distinct()

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from arbora.operators.skew import balanced_lookup
 from arbora.storage import materialize
 
 #: Stands for a missing sent_id, which equals only another missing one.
@@ -36,26 +35,22 @@ def record_keys(records: DataFrame) -> DataFrame:
     """(record_id, key) with ``key`` the record's sent_id and forms, by idx, as integers.
 
     Every distinct stored value is canonicalised once and gets the integer of its canonical
-    text; records are rewritten by looking the integers up (heavy values where the rows lie,
-    others by shuffle). Forms that become empty, and null forms, are left out; a null sent_id
-    equals only null. Null or missing tokens make a record of its sent_id alone. A repeated
-    record_id counts once. No record is left out but those without record_id.
+    text; records are rewritten by looking the integers up. Forms that become empty, and null
+    forms, are left out; a null sent_id equals only null. Null or missing tokens make a record of
+    its sent_id alone. A repeated record_id counts once. No record is left out but those without record_id.
     """
-    once = records.filter("record_id is not null").dropDuplicates(["record_id"])
-    entry = lambda position, kind, value: F.struct(position.alias("position"), F.lit(kind).alias("kind"), value.alias("value"))
-    forms = F.transform(F.coalesce("tokens", F.array()), lambda t: entry(t["idx"], "form", t["form"]))
-    cells = once.select(
-        "record_id", F.explode(F.concat(F.array(entry(F.lit(-(2**31)), "sent_id", F.coalesce("sent_id", F.lit(_MISSING)))), forms)).alias("c")
-    ).select("record_id", "c.position", "c.kind", "c.value").filter("value is not null")
-    cells = materialize(cells, "cells")
-    values = materialize(
-        cells.groupBy("kind", "value").agg(F.count("*").alias("n")).withColumn("canonical", _canonical("value")), "values"
-    )
+    once = records.filter("record_id is not null").select("record_id", F.coalesce("sent_id", F.lit(_MISSING)).alias("sent_id"), F.col("tokens.idx").alias("idx"), F.col("tokens.form").alias("form"))
+    if not once.groupBy("record_id").count().filter("count > 1").isEmpty():
+        once = materialize(once.dropDuplicates(["record_id"]), "once")
+    values = once.select(F.explode(F.concat(F.array(F.struct(F.lit("sent_id").alias("kind"), F.col("sent_id").alias("value"))), F.transform(F.coalesce("form", F.array().cast("array<string>")), lambda f: F.struct(F.lit("form").alias("kind"), f.alias("value"))))).alias("v"))
+    values = materialize(values.select("v.*").filter("value is not null").distinct().withColumn("canonical", _canonical("value")), "values")
     codes = materialize(
         values.filter("canonical <> '' or kind = 'sent_id'").select("kind", "canonical").distinct().withColumn("code", F.monotonically_increasing_id()), "codes"
     )
-    dictionary = values.join(codes, ["kind", "canonical"]).select("kind", "value", "code", "n")
-    coded = balanced_lookup(cells, dictionary, ["kind", "value"], "n", cells.count())
+    dictionary = materialize(values.join(codes, ["kind", "canonical"]).select("kind", "value", "code"), "dictionary")
+    forms = once.select("record_id", F.explode(F.arrays_zip("idx", "form")).alias("c")).select("record_id", F.col("c.idx").alias("position"), F.lit("form").alias("kind"), F.col("c.form").alias("value"))
+    cells = once.select("record_id", F.lit(-(2**31)).alias("position"), F.lit("sent_id").alias("kind"), F.col("sent_id").alias("value")).unionByName(forms)
+    coded = cells.join(dictionary, ["kind", "value"])
     return coded.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("position", "code"))).alias("t")).select(
         "record_id", F.transform("t", lambda x: x["code"]).alias("key")
     )
@@ -68,5 +63,5 @@ def same_groups(keys: DataFrame) -> DataFrame:
 
 def members(keys: DataFrame, groups: DataFrame) -> DataFrame:
     """(first_record_id, record_id) of every record that is not the first of its group."""
-    repeated = groups.filter("copies > 1").select("key", "first_record_id", F.col("copies").alias("n"))
-    return balanced_lookup(keys, repeated, ["key"], "n", keys.count()).filter("record_id <> first_record_id").select("first_record_id", "record_id")
+    repeated = groups.filter("copies > 1").select("key", "first_record_id")
+    return keys.join(repeated, "key").filter("record_id <> first_record_id").select("first_record_id", "record_id")
