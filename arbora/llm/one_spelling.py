@@ -268,19 +268,17 @@ def cells(records: DataFrame) -> DataFrame:
     ``register`` has idx -1; ``position`` counts a token's syllables from 0. Null or empty
     token lists give only the register.
     """
-    cell = lambda field, position, value: F.struct(F.lit(field).alias("field_name"), position.alias("position"), value.alias("value"))
-    tokens = records.select("record_id", F.explode("tokens").alias("t")).select(
-        "record_id",
-        F.col("t.idx").alias("idx"),
-        F.explode(
-            F.concat(
-                F.array(cell("form", F.lit(0), F.col("t.form"))),
-                F.transform(F.coalesce("t.syllables", F.array()), lambda s, i: cell("syllables", i, s)),
-            )
-        ).alias("c"),
+    cell = lambda idx, field, position, value: F.struct(idx.alias("idx"), F.lit(field).alias("field_name"), position.alias("position"), value.alias("value"))
+    of_token = F.transform(
+        "tokens",
+        lambda t: F.concat(
+            F.array(cell(t["idx"], "form", F.lit(0), t["form"])),
+            F.transform(F.coalesce(t["syllables"], F.array()), lambda s, i: cell(t["idx"], "syllables", i, s)),
+        ),
     )
-    register = records.select("record_id", F.lit(-1).alias("idx"), cell("register", F.lit(0), F.col("register")).alias("c"))
-    return tokens.unionByName(register).select("record_id", "idx", "c.field_name", "c.position", "c.value").filter("value is not null")
+    register = F.array(cell(F.lit(-1), "register", F.lit(0), F.col("register")))
+    every = records.select("record_id", F.explode(F.concat(register, F.flatten(F.coalesce(of_token, F.array())))).alias("c"))
+    return every.select("record_id", "c.idx", "c.field_name", "c.position", "c.value").filter("value is not null")
 
 
 def _texts(records: DataFrame):
