@@ -1,17 +1,22 @@
-"""Operators on one tree per row: ``toks`` is an array of structs with id, form, upos, head and deprel.
+"""Operators on dependency trees.
 
-Everything here is array functions of one row, so nothing is shuffled, and pointer doubling
-keeps the number of rounds at the logarithm of the length. Null and empty token arrays are
-trees without root.
+Validity is judged on one tree per row (``toks``, an array of structs with id, form, upos, head and
+deprel) by array functions, without a shuffle; pointer doubling keeps the number of rounds at the
+logarithm of the length. Null and empty token arrays are trees without root. All else works on one
+row per token, by windows and groups over the sentence, so a long sentence costs no more for each token.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.functions.text import is_opening, label_base, words
+from arbora.functions.vocabulary import BASE_LABELS
+from arbora.operators.hierarchy import resolve
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -57,6 +62,7 @@ def diagnosis() -> Column:
     """Sorted error codes joined by commas; the empty text for a valid tree. Needs ``with_tree``."""
     toks, n = F.col("toks"), F.col("n")
     bad_label = F.exists(toks, lambda t: (F.coalesce(t["head"], F.lit(-1)) == 0) != (F.coalesce(t["deprel"], F.lit("")) == "root"))
+    # The codes of the defects.
     codes = F.array(
         F.when(F.exists("ends", lambda e: e > 0), "cycle"),
         F.when(F.exists("heads", lambda h: ~h.between(0, n)), "invalid_head"),
@@ -69,8 +75,8 @@ def diagnosis() -> Column:
 def first_defect() -> Column:
     """(reason, line_number) of what a strict reader reports first; null for a valid tree. Needs ``with_tree``.
 
-    Heads outside the sentence and root labels are judged token by token, then the number of
-    roots, then circles.
+    Ids that do not count from 1 come first; heads outside the sentence and root labels are judged
+    token by token, then the number of roots, then circles.
     """
     toks, n = F.col("toks"), F.col("n")
     judged = F.transform(
@@ -83,129 +89,159 @@ def first_defect() -> Column:
     local = F.try_element_at(F.filter(judged, lambda j: j["reason"].isNotNull()), F.lit(1))
     at = lambda reason, line: F.struct(F.lit(reason).alias("reason"), line.alias("line_number"))
     first_line = F.try_element_at(toks, F.lit(1))["line_number"]
+    misplaced = F.try_element_at(F.filter("toks", lambda t, i: ~F.coalesce(t["id"] == i + 1, F.lit(False))), F.lit(1))["line_number"]
     return (
-        F.when(local.isNotNull(), local)
+        F.when(~F.coalesce("consecutive", F.lit(False)), at("ids", misplaced))
+        .when(local.isNotNull(), local)
         .when(F.size(F.filter("heads", lambda h: h == 0)) != 1, at("root_count", first_line))
         .when(F.exists("ends", lambda e: e > 0), at("cycle", first_line))
     )
 
 
-def ancestors(df: DataFrame, key: str) -> DataFrame:
-    """(key, id, ancestor, distance), each node with itself at distance 0 and all above it; for valid trees. Needs ``with_tree``."""
-    n = F.col("n")
-    climb = lambda i: F.aggregate(
-        _upto(n), F.array(i), lambda way, _: F.when(F.element_at(way, -1) > 0, F.concat(way, F.array(F.element_at(F.col("safe"), F.greatest(F.element_at(way, -1), F.lit(1)))))).otherwise(way)
-    )
-    nodes = settled(df, ways=F.transform(_upto(n), climb)).select(key, F.posexplode("ways").alias("p", "way"))
-    return nodes.select(key, (F.col("p") + 1).alias("id"), F.posexplode(F.filter("way", lambda x: x > 0)).alias("distance", "ancestor"))
+def tokens(df: DataFrame, key: str, *kept: str) -> DataFrame:
+    """One row per token of ``toks``."""
+    return df.select(key, *kept, F.explode("toks").alias("t")).select(key, *kept, "t.*")
+
+
+def ancestors(toks: DataFrame, key: str) -> DataFrame:
+    """(key, id, depth, distance, ancestor, head, deprel): each token with itself at distance 0 and all above it, and the
+    ancestor's head and label. Tokens on circles, or below one, have no rows. Trees may have any size, see ``hierarchy``."""
+    up = F.when(F.col("head") > 0, F.col("head"))
+    found = resolve(toks, key, "id", up, F.struct(F.col("id").alias("node"), "head", "deprel")).reached
+    pairs = found.select(F.col("tree").alias(key), F.col("node").alias("id"), "depth", F.posexplode("path").alias("distance", "a"))
+    return pairs.select(key, "id", "depth", "distance", F.col("a.node").alias("ancestor"), "a.head", "a.deprel")
 
 
 def spans(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, id, left_edge, right_edge, size) of each subtree."""
-    return pairs.groupBy(key, F.col("ancestor").alias("id")).agg(F.min("id").alias("left_edge"), F.max("id").alias("right_edge"), F.count("*").alias("size"))
+    """(key, id, head, deprel, depth, left_edge, right_edge, size) of each subtree, by ``ancestors``."""
+    return pairs.groupBy(key, F.col("ancestor").alias("id")).agg(
+        F.first("head").alias("head"), F.first("deprel").alias("deprel"), F.first(F.col("depth") - F.col("distance")).alias("depth"),
+        F.min(pairs["id"]).alias("left_edge"), F.max(pairs["id"]).alias("right_edge"), F.count("*").alias("size"),
+    )
+
+
+def projective(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, by_spans, by_descent) of each tree: whether every subtree fills its span, and whether all tokens between a token
+    and its dependents descend from it. For the second the outermost dependents suffice, as the inner arcs lie within."""
+    own = W.partitionBy(key, "ancestor")
+    near = F.when(F.col("distance") <= 1, F.col("id"))
+    ranged = pairs.withColumn("lo", F.min(near).over(own)).withColumn("hi", F.max(near).over(own))
+    each = ranged.groupBy(key, "ancestor").agg(
+        (F.max("id") - F.min("id") + 1 == F.count("*")).alias("whole"), (F.count_if(F.col("id").between(F.col("lo"), F.col("hi"))) == F.first("hi") - F.first("lo") + 1).alias("under")
+    )
+    return each.groupBy(key).agg(F.bool_and("whole").alias("by_spans"), F.bool_and("under").alias("by_descent"))
 
 
-def glue(df: DataFrame) -> DataFrame:
-    """Adds ``base`` labels and ``targets``: for each token the kept token that it is glued to, or null.
+def glue(toks: DataFrame, key: str) -> DataFrame:
+    """Adds ``base`` labels and ``target``: the kept token that a token is glued to, or null.
 
     Punctuation below the root goes to the next kept token after it if it opens (opening marks,
-    every odd straight quote) and before it otherwise; without one it is kept. Needs ``with_tree``.
+    every odd straight quote) and before it otherwise; without one it is kept. For valid trees.
     """
-    base = F.transform("toks", lambda t: label_base(t["deprel"]))
-    df = settled(df, base=base)
-    loose = lambda t, i: (F.get("base", i) == "punct") & (t["head"] != 0)
-    df = settled(df, marks=F.transform("toks", lambda t, i: F.struct(t["id"].alias("id"), t["form"].alias("form"), loose(t, i).alias("loose"))))
-    fixed = F.transform(F.filter("marks", lambda m: ~m["loose"]), lambda m: m["id"])
-    quotes = F.transform(F.filter("marks", lambda m: m["loose"] & (m["form"] == '"')), lambda m: m["id"])
-    df = settled(df, fixed=fixed, quotes=quotes)
-    forward = lambda m: F.when(m["form"] == '"', F.size(F.filter("quotes", lambda q: q <= m["id"])) % 2 == 1).otherwise(is_opening(m["form"]))
-    target = lambda m: F.when(
-        m["loose"],
-        F.when(forward(m), F.array_min(F.filter("fixed", lambda x: x > m["id"]))).otherwise(F.array_max(F.filter("fixed", lambda x: x < m["id"]))),
-    )
-    return settled(df, targets=F.transform("marks", target))
+    rows = toks.withColumn("base", label_base(F.col("deprel")))
+    rows = rows.withColumn("loose", F.coalesce((F.col("base") == "punct") & (F.col("head") != 0), F.lit(False)))
+    fixed = F.when(~F.col("loose"), F.col("id"))
+    upwards, downwards = W.partitionBy(key).orderBy("id"), W.partitionBy(key).orderBy(F.desc("id"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    quote = F.col("loose") & (F.col("form") == '"')
+    odd = F.sum(F.when(quote, 1).otherwise(0)).over(upwards.rowsBetween(W.unboundedPreceding, 0)) % 2 == 1
+    forward = F.when(F.col("form") == '"', odd).otherwise(is_opening(F.col("form")))
+    before, after = F.last(fixed, ignorenulls=True).over(earlier(upwards)), F.last(fixed, ignorenulls=True).over(earlier(downwards))
+    return rows.withColumn("target", F.when(F.col("loose"), F.when(forward, after).otherwise(before)))
 
 
-def project(df: DataFrame) -> DataFrame:
-    """Adds ``projected``: the tree on syllables, as (id, form, upos, head, deprel, line_number, word_id).
+def project(glued: DataFrame, key: str) -> DataFrame:
+    """The trees on syllables: (key, id, form, upos, head, deprel, line_number, word_id, inner).
 
     Glued punctuation joins the form of its target; a kept word's first syllable carries its
-    arc, further syllables hang on the first as ``dep``; heads that were glued away are
-    replaced by their own heads. Needs ``glue`` and a valid tree with known labels and
-    non-blank forms.
+    arc, further syllables (``inner``) hang on the first as ``dep``; heads that were glued away are
+    replaced by their own heads. Needs ``glue``, valid trees with known labels and non-blank forms.
+    All steps but the first stay with the sentence, so its rows are exchanged once.
     """
-    n = F.col("n")
-    kept_parent = F.transform(F.arrays_zip("targets", "safe"), lambda x, i: F.when(x["targets"].isNull(), i + 1).otherwise(x["safe"]))
-    df = settled(df, kept_parent=kept_parent)
-    df = settled(df, up=chase(F.col("kept_parent"), n))
-    whole = lambda w: F.array_join(
-        F.transform(F.filter(F.arrays_zip("marks", "targets"), lambda x: F.coalesce(x["targets"], x["marks"]["id"]) == w), lambda x: x["marks"]["form"]), ""
-    )
-    cut = F.transform("marks", lambda m, i: F.when(F.get("targets", i).isNull(), words(whole(m["id"]))).otherwise(F.array().cast("array<string>")))
-    df = settled(df, cut=cut)
-    df = settled(df, counts=F.transform("cut", lambda c: F.size(c)))
-    df = settled(df, starts=F.transform("counts", lambda _, i: F.aggregate(F.slice("counts", F.lit(1), i), F.lit(1), lambda a, c: a + c)))
-    first = lambda w: F.when(w > 0, F.element_at("starts", F.greatest(w, F.lit(1)))).otherwise(0)
-    head_of = lambda h: first(F.when(h > 0, F.element_at("up", F.greatest(h, F.lit(1)))).otherwise(0))
-    syllables = F.flatten(
-        F.transform(
-            F.arrays_zip("toks", "cut", "starts", "base"),
-            lambda x: F.transform(
-                x["cut"],
-                lambda form, k: F.struct(
-                    (x["starts"] + k).alias("id"),
-                    form.alias("form"),
-                    F.lit("X").alias("upos"),
-                    F.when(k == 0, head_of(x["toks"]["head"])).otherwise(x["starts"]).alias("head"),
-                    F.when(k == 0, x["base"]).otherwise(F.lit("dep")).alias("deprel"),
-                    x["toks"]["line_number"].alias("line_number"),
-                    x["toks"]["id"].alias("word_id"),
-                ),
-            ),
-        )
-    )
-    return settled(df, projected=syllables)
+    word = F.coalesce("target", "id").alias("word_id")
+    parts = glued.groupBy(key, word).agg(F.sort_array(F.collect_list(F.struct("id", "form", "head", "base", "line_number"))).alias("parts"))
+    cut = parts.withColumn("cut", words(F.array_join(F.transform("parts", lambda p: p["form"]), "")))
+    so_far = W.partitionBy(key).orderBy("word_id").rowsBetween(W.unboundedPreceding, -1)
+    placed = cut.withColumn("start", F.coalesce(F.sum(F.size("cut")).over(so_far), F.lit(0)).cast("int") + 1)
+    own = lambda p, c: F.when(p["id"] == F.col("word_id"), F.col(c)).alias(c)
+    members = F.transform("parts", lambda p: F.struct(p["id"].alias("id"), p["head"].alias("head"), p["base"].alias("base"), p["line_number"].alias("line_number"), own(p, "start"), own(p, "cut")))
+    whole = placed.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list(members))).alias("t"))
+    kept_parent = F.transform("t", lambda x: F.when(x["start"].isNotNull(), x["id"]).otherwise(x["head"]))
+    whole = settled(whole, kept_parent=kept_parent, starts=F.transform("t", lambda x: x["start"]))
+    whole = settled(whole, up=chase(F.col("kept_parent"), F.size("t")))
+    kept_head = lambda h: F.element_at("starts", F.element_at("up", F.greatest(h, F.lit(1))))
+    arcs = F.transform("t", lambda x: F.struct(x["id"].alias("word_id"), x["base"].alias("base"), x["line_number"].alias("line_number"), x["start"].alias("start"), x["cut"].alias("cut"), F.when(x["head"] > 0, kept_head(x["head"])).otherwise(0).alias("anchor")))
+    rows = settled(whole, arcs=arcs).select(key, F.explode("arcs").alias("a")).select(key, "a.*").filter("start is not null").select("*", F.posexplode("cut").alias("k", "form"))
+    first = F.col("k") == 0
+    return rows.select(
+        key, (F.col("start") + F.col("k")).alias("id"), "form", F.lit("X").alias("upos"), F.when(first, F.col("anchor")).otherwise(F.col("start")).alias("head"),
+        F.when(first, F.col("base")).otherwise(F.lit("dep")).alias("deprel"), "line_number", "word_id", (~first).alias("inner"),
+    )
 
 
-def oracle_actions(trees: DataFrame, key: str) -> DataFrame:
-    """(key, step, kind, label, dependent): the static arc-standard oracle of valid projective trees, in closed form.
+def oracle_actions(edges: DataFrame, key: str) -> DataFrame:
+    """(key, step, kind, label, dependent, head): the static arc-standard oracle of the projective ones among valid trees, in closed form.
 
     The oracle attaches a left dependent when its head lies on top and a right one when its
     subtree is complete, so the actions are the shifts and arcs ordered by the buffer position
-    at which each becomes possible, arcs of one position from the inside out. Needs ``with_tree``.
+    at which each becomes possible, arcs of one position from the inside out. Needs ``spans``.
     """
-    edges = spans(ancestors(trees, key), key).select(key, "id", "right_edge")
-    toks = trees.select(key, F.explode("toks").alias("t")).select(key, F.col("t.id").alias("id"), F.col("t.head").alias("head"), F.col("t.deprel").alias("label")).join(edges, [key, "id"])
+    flat = F.bool_and(F.col("right_edge") - F.col("left_edge") + 1 == F.col("size")).over(W.partitionBy(key))
+    toks = edges.withColumn("flat", flat).filter("flat")
     shift = F.struct(F.col("id").alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("order"), F.lit("SHIFT").alias("kind"), F.lit(None).cast("string").alias("label"))
     left = F.col("head") > F.col("id")
     arc = F.struct(
-        F.when(left, F.col("head")).otherwise(F.col("right_edge")).alias("at"),
-        F.when(left, 1).otherwise(2).alias("rank"),
-        (-F.col("id")).alias("order"),
-        F.when(left, "LEFT_ARC").otherwise("RIGHT_ARC").alias("kind"),
-        F.col("label"),
-    )
-    rows = toks.select(key, "id", F.explode(F.array(shift, arc)).alias("a"))
+        F.when(left, F.col("head")).otherwise(F.col("right_edge")).alias("at"), F.when(left, 1).otherwise(2).alias("rank"), (-F.col("id")).alias("order"),
+        F.when(left, "LEFT_ARC").otherwise("RIGHT_ARC").alias("kind"), F.col("deprel").alias("label"),
+    )
+    rows = toks.select(key, "id", "head", F.explode(F.array(shift, arc)).alias("a"))
     return rows.select(
-        key, F.row_number().over(W.partitionBy(key).orderBy("a.at", "a.rank", "a.order")).alias("step"), "a.kind", "a.label", F.col("id").alias("dependent")
+        key, F.row_number().over(W.partitionBy(key).orderBy("a.at", "a.rank", "a.order")).alias("step"), "a.kind", "a.label", F.col("id").alias("dependent"), "head"
     )
 
 
-def replay(actions: Column, n: Column) -> Column:
-    """Heads that a list of actions (kind, in order) builds over n tokens, or null where an action is not possible."""
-    state = F.struct(F.array(F.lit(0)).alias("stack"), F.lit(0).alias("shifted"), F.array_repeat(F.lit(-1), n).alias("heads"), F.lit(True).alias("ok"))
-
-    def step(s: Column, kind: Column) -> Column:
-        size = F.size(s["stack"])
-        top, below = F.element_at(s["stack"], -1), F.try_element_at(s["stack"], F.lit(-2))
-        child, head = F.when(kind == "LEFT_ARC", below).otherwise(top), F.when(kind == "LEFT_ARC", top).otherwise(below)
-        can = F.when(kind == "SHIFT", s["shifted"] < n).otherwise((size >= 2) & (child > 0) & F.coalesce(F.get(s["heads"], child - 1) == -1, F.lit(False)))
-        stack = (
-            F.when(kind == "SHIFT", F.concat(s["stack"], F.array(s["shifted"] + 1)))
-            .when(kind == "LEFT_ARC", F.concat(F.slice(s["stack"], F.lit(1), F.greatest(size - 2, F.lit(0))), F.array(top)))
-            .otherwise(F.slice(s["stack"], F.lit(1), F.greatest(size - 1, F.lit(0))))
-        )
-        built = F.when(kind == "SHIFT", s["heads"]).otherwise(F.transform(s["heads"], lambda h, i: F.when(i + 1 == child, head).otherwise(h)))
-        return F.struct(stack.alias("stack"), (s["shifted"] + F.when(kind == "SHIFT", 1).otherwise(0)).alias("shifted"), built.alias("heads"), (s["ok"] & F.coalesce(can, F.lit(False))).alias("ok"))
-
-    return F.aggregate(actions, state, step, lambda s: F.when(s["ok"] & (s["stack"] == F.array(F.lit(0))), s["heads"]))
+def refusal(stack: list[int], waiting: bool, kind: str, label: str | None) -> str | None:
+    """Why an action is not legal, or None. An arc to the root (0) ends the sentence: it comes last and alone carries ``root``."""
+    if kind == "SHIFT":
+        return "label" if label is not None else None if waiting else "empty_buffer"
+    if kind not in ("LEFT_ARC", "RIGHT_ARC"):
+        return "kind"
+    if len(stack) < 2:
+        return "short_stack"
+    if label not in BASE_LABELS:
+        return "label"
+    if stack[-2] == 0:
+        if kind == "LEFT_ARC":
+            return "root_dependent"
+        return "root_label" if label != "root" else "root_early" if waiting else None
+    return "root_label" if label == "root" else None
+
+
+def run_actions(n: int, kinds: list[str], labels: list[str | None]) -> tuple[list[int | None], list[str | None], int | None, str | None]:
+    """Heads and labels that the actions build over n tokens, and the step (from 1) and reason of the first one that is refused; what follows is not run."""
+    heads, given = [None] * n, [None] * n
+    stack, shifted = [0], 0
+    for step, (kind, label) in enumerate(zip(kinds, labels), 1):
+        reason = refusal(stack, shifted < n, kind, label)
+        if reason:
+            return heads, given, step, reason
+        if kind == "SHIFT":
+            shifted += 1
+            stack.append(shifted)
+        else:
+            child = stack.pop(-2 if kind == "LEFT_ARC" else -1)
+            heads[child - 1], given[child - 1] = stack[-1], label
+    return heads, given, None, None if shifted == n and stack == [0] else "unfinished"
+
+
+_RAN = T.StructType(
+    [T.StructField("heads", T.ArrayType(T.IntegerType())), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("step", T.IntegerType()), T.StructField("reason", T.StringType())]
+)
+
+
+@F.pandas_udf(_RAN)
+def replay(n: pd.Series, kinds: pd.Series, labels: pd.Series) -> pd.DataFrame:
+    """``run_actions`` of each sentence; null actions are none."""
+    ran = [run_actions(int(m), [] if k is None else list(k), [] if x is None else list(x)) for m, k, x in zip(n, kinds, labels)]
+    out = pd.DataFrame(ran, columns=["heads", "labels", "step", "reason"])
+    return out.astype({"step": "Int32"})

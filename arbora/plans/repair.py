@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.functions import text as tx
-from arbora.operators import trees
+from arbora.operators.hierarchy import resolve
 from arbora.plans import treebank
 from arbora.plans.corpus import _SPLIT
-from arbora.storage import materialize, table
+from arbora.storage import table
 
 #: An arc can carry any base label but root.
 ARC_LABELS = 36
@@ -30,24 +30,21 @@ def fallback_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(emoticon, 2).when(mark, 1).otherwise(0)
     label = F.when(emoticon, "discourse").when(mark, "punct").otherwise("dep")
     ranked = tokens.withColumn("rank", rank).withColumn("label", label)
-    s = ranked.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "head"))).alias("t"), F.min(F.struct("rank", "idx")).alias("root"))
-    bad = treebank.placed_heads(s).filter(~treebank.single_root())
-    return ranked.join(bad.select("sent_id", F.col("root.idx").alias("root_idx")), "sent_id").select(
+    bad = treebank.judged_roots(tokens).filter("not single").select("sent_id")
+    starred = ranked.join(bad, "sent_id", "left_semi")
+    roots = starred.groupBy("sent_id").agg(F.min(F.struct("rank", "idx"))["idx"].alias("root_idx"))
+    return starred.join(roots, "sent_id").select(
         "sent_id", "idx", F.when(F.col("idx") == F.col("root_idx"), 0).otherwise(F.col("root_idx") + 1).alias("head"), F.when(F.col("idx") == F.col("root_idx"), "root").otherwise(F.col("label")).alias("deprel")
     )
 
 
 def word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words regained from the syllable trees: the syllable nearest to the root, of equals the first, stands for its word."""
-    done = trees.project(treebank._glued(spark, sf_dir)).select("sent_no", F.col("projected").alias("toks"))
-    valid = materialize(treebank._valid(trees.with_tree(done)), "syllables")
-    depth = trees.ancestors(valid, "sent_no").groupBy("sent_no", "id").agg(F.max("distance").alias("depth"))
-    syllables = valid.select("sent_no", F.inline("toks")).join(depth, ["sent_no", "id"])
-    chosen = syllables.groupBy("sent_no", "word_id").agg(F.min(F.struct("depth", "id", "head", "deprel")).alias("r"))
-    owner = syllables.select("sent_no", F.col("id").alias("up"), F.col("word_id").alias("head_word_id"))
-    return chosen.select("sent_no", "word_id", F.col("r.head").alias("up"), F.col("r.deprel").alias("deprel")).join(owner, ["sent_no", "up"], "left").select(
-        "sent_no", "word_id", F.coalesce("head_word_id", F.lit(0)).alias("head_word_id"), "deprel"
-    )
+    own = F.struct(F.col("id").alias("node"), "head", "deprel", "word_id")
+    found = resolve(treebank.syllable_trees(spark, sf_dir), "sent_no", "id", F.when(F.col("head") > 0, F.col("head")), own).reached
+    syllables = found.select(F.col("tree").alias("sent_no"), F.col("node").alias("id"), "depth", F.col("path")[0]["head"].alias("head"), F.col("path")[0]["deprel"].alias("deprel"), F.col("path")[0]["word_id"].alias("word_id"), F.try_element_at("path", F.lit(2))["word_id"].alias("head_word_id"))
+    chosen = syllables.groupBy("sent_no", "word_id").agg(F.min(F.struct("depth", "id", "head_word_id", "deprel")).alias("r"))
+    return chosen.select("sent_no", "word_id", F.coalesce("r.head_word_id", F.lit(0)).alias("head_word_id"), F.col("r.deprel").alias("deprel"))
 
 
 def legal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +53,7 @@ def legal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     A shift is legal while words wait; arcs need two items on the stack and any of the labels;
     the arc from the root only ends the sentence.
     """
-    acts = treebank.oracle_actions(spark, sf_dir)
+    acts = treebank._actions(spark, sf_dir)
     before = W.partitionBy("sent_no").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     shift = F.when(F.col("kind") == "SHIFT", 1).otherwise(0)
     states = acts.withColumn("shifted", F.coalesce(F.sum(shift).over(before), F.lit(0))).withColumn("n", F.sum(shift).over(W.partitionBy("sent_no")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.text import label_base
 from arbora.functions.vocabulary import LABEL_BASE
 from arbora.operators import trees
+from arbora.operators.hierarchy import resolve
 from arbora.storage import materialize, table
 
 
@@ -18,111 +20,152 @@ def _valid(df: DataFrame) -> DataFrame:
     return df.filter(trees.diagnosis() == "")
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed sentences, broken ones among them, as one tree per row; repeats count once, ids are idx + 1 and stand for the lines."""
+    rows = table(spark, sf_dir, "ud_tokens").select("sent_id", "idx", "form", "upos", "head", "deprel").distinct()
+    tok = F.struct((F.col("idx") + 1).alias("id"), "form", "upos", "head", "deprel", (F.col("idx") + 1).alias("line_number"))
+    return trees.with_tree(rows.groupBy("sent_id").agg(F.sort_array(F.collect_list(tok)).alias("toks")))
+
+
 def tree_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted error codes of each sentence."""
-    return _trees(spark, sf_dir).select("sent_no", trees.diagnosis().alias("errors"))
+    """Sorted error codes of each parsed sentence."""
+    return _parsed(spark, sf_dir).select("sent_id", trees.diagnosis().alias("errors"))
 
 
 def strict_tree_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first defect that a strict reader reports, with its line."""
-    found = _trees(spark, sf_dir).select("sent_no", trees.first_defect().alias("d")).filter("d is not null")
-    return found.select("sent_no", "d.reason", "d.line_number")
+    """The first defect that a strict reader reports of each parsed sentence, with its line."""
+    found = _parsed(spark, sf_dir).select("sent_id", trees.first_defect().alias("d")).filter("d is not null")
+    return found.select("sent_id", "d.reason", "d.line_number")
 
 
-def placed_heads(by_sentence: DataFrame) -> DataFrame:
-    """Sentences with ``t``, sorted (idx, head) with heads as idx + 1: adds n, heads by place 1..n (-1 where none is stored) and ``ends``."""
-    place = lambda h: F.when(h == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position("ids", h - 1), F.lit(0)), F.lit(-1)))
-    placed = trees.settled(by_sentence, ids=F.transform("t", lambda x: x["idx"]), n=F.size("t"))
-    placed = trees.settled(placed, heads=F.transform("t", lambda x: place(F.coalesce(x["head"], F.lit(-1))).cast("int")))
-    placed = trees.settled(placed, safe=F.transform("heads", lambda h: F.greatest(h, F.lit(0))))
-    return trees.settled(placed, ends=trees.chase(F.col("safe"), F.col("n")))
+def annotated_tree_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and sorted error codes: annotated sentences."""
+    rows = trees.with_tree(table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", "toks"))
+    return rows.groupBy("split", trees.diagnosis().alias("errors")).agg(F.count("*").alias("sentences"))
 
 
-def single_root() -> Column:
-    """One root, all heads present and no circle, whatever the root's label; on ``placed_heads``."""
-    return (F.size(F.filter("heads", lambda h: h == 0)) == 1) & ~F.exists("heads", lambda h: h < 0) & ~F.exists("ends", lambda e: e > 0)
+def judged_roots(rows: DataFrame) -> DataFrame:
+    """(sent_id, single) of (sent_id, idx, head): whether there is one root, all heads are stored and no way runs in a circle, whatever the root's label."""
+    found = resolve(rows, "sent_id", "idx", F.when(F.col("head") != 0, F.col("head") - 1), F.struct("head"))
+    is_root = F.col("path")[0]["head"].eqNullSafe(F.lit(0))
+    tops = found.reached.filter("depth = 0").select("tree", is_root.cast("int").alias("roots"), (~is_root).cast("int").alias("bad"))
+    judged = tops.unionByName(found.endless.select("tree", F.lit(0).alias("roots"), F.lit(1).alias("bad")))
+    return judged.groupBy(F.col("tree").alias("sent_id")).agg(((F.sum("roots") == 1) & (F.sum("bad") == 0)).alias("single"))
 
 
 def single_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed sentences and how many are trees with one root."""
-    tokens = table(spark, sf_dir, "ud_tokens").select("sent_id", "idx", "head", "source").distinct()
-    by_sentence = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "head"))).alias("t"), F.min("source").alias("source"))
-    return placed_heads(by_sentence).groupBy("source").agg(F.count("*").alias("sentences"), F.count_if(single_root()).alias("single_rooted"))
+    rows = table(spark, sf_dir, "ud_tokens")
+    source = rows.groupBy("sent_id").agg(F.min("source").alias("source"))
+    return judged_roots(rows).join(source, "sent_id").groupBy("source").agg(F.count("*").alias("sentences"), F.count_if("single").alias("single_rooted"))
 
 
 def projectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each valid tree is projective: every subtree fills its span; and by descent: every token under an arc hangs on its head."""
-    valid = _valid(_trees(spark, sf_dir))
-    pairs = trees.ancestors(valid, "sent_no")
-    whole = trees.spans(pairs, "sent_no").groupBy("sent_no").agg(F.bool_and(F.col("right_edge") - F.col("left_edge") + 1 == F.col("size")).alias("contiguous"))
-    arcs = valid.select("sent_no", F.explode("toks").alias("t")).select("sent_no", F.col("t.id").alias("id"), F.col("t.head").alias("head")).filter("head > 0")
-    inside = arcs.select("sent_no", "head", (F.abs(F.col("id") - F.col("head")) - 1).alias("between"), F.explode(F.sequence(F.least("id", "head"), F.greatest("id", "head"))).alias("id"))
-    astray = inside.join(pairs.select("sent_no", "id", F.col("ancestor").alias("head")), ["sent_no", "id", "head"], "left_anti").select("sent_no").distinct().withColumn("astray", F.lit(True))
-    return whole.join(astray, "sent_no", "left").select("sent_no", F.col("contiguous").alias("by_spans"), F.col("astray").isNull().alias("by_descent"))
+    """Whether each valid parsed tree is projective: every subtree fills its span; and by descent: every token under an arc hangs on its head."""
+    valid = materialize(trees.tokens(_valid(_parsed(spark, sf_dir)), "sent_id"), "valid")
+    return trees.projective(trees.ancestors(valid, "sent_id"), "sent_id")
 
 
 def subtree_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth, edges and size of every subtree of the valid trees."""
-    pairs = trees.ancestors(_valid(_trees(spark, sf_dir)), "sent_no")
-    depth = pairs.groupBy("sent_no", "id").agg(F.max("distance").alias("depth"))
-    return trees.spans(pairs, "sent_no").join(depth, ["sent_no", "id"]).select("sent_no", "id", "depth", "left_edge", "right_edge", "size")
+    pairs = trees.ancestors(trees.tokens(_valid(_trees(spark, sf_dir)), "sent_no"), "sent_no")
+    return trees.spans(pairs, "sent_no").select("sent_no", "id", "depth", "left_edge", "right_edge", "size")
+
+
+def _ready(df: DataFrame) -> DataFrame:
+    """Trees that can be projected: valid, with known labels and forms that are not blank."""
+    return _valid(df).filter(F.forall("toks", lambda t: t["deprel"].isin(list(LABEL_BASE)) & (F.trim(F.coalesce(t["form"], F.lit(""))) != "")))
 
 
 def _glued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = _valid(_trees(spark, sf_dir)).filter(F.forall("toks", lambda t: t["deprel"].isin(list(LABEL_BASE)) & (F.trim(F.coalesce(t["form"], F.lit(""))) != "")))
-    return trees.glue(ready)
+    return trees.glue(trees.tokens(_ready(_trees(spark, sf_dir)), "sent_no"), "sent_no")
 
 
 def glue_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each glued punctuation token and the token that takes it."""
-    glued = _glued(spark, sf_dir).select("sent_no", F.posexplode("targets").alias("p", "target_id"))
-    return glued.filter("target_id is not null").select("sent_no", (F.col("p") + 1).alias("id"), "target_id")
+    return _glued(spark, sf_dir).filter("target is not null").select("sent_no", "id", F.col("target").alias("target_id"))
 
 
 def projection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trees on syllables."""
-    rows = trees.project(_glued(spark, sf_dir)).select("sent_no", F.inline("projected"))
-    return rows.select("sent_no", "id", "form", "head", "deprel", "word_id", "line_number")
+    return trees.project(_glued(spark, sf_dir), "sent_no").select("sent_no", "id", "form", "head", "deprel", "word_id", "line_number")
 
 
 def projection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split: words and syllables, glued and kept punctuation, inner arcs, and whether the accounts agree."""
-    done = trees.project(_glued(spark, sf_dir))
-    glued = F.filter(F.arrays_zip("toks", "targets"), lambda x: x["targets"].isNotNull())
-    opening = F.size(F.filter(glued, lambda x: x["targets"] > x["toks"]["id"]))
-    inner = F.aggregate("counts", F.lit(0), lambda a, c: a + F.greatest(c - 1, F.lit(0)))
-    kept = F.size(F.filter(F.arrays_zip("base", "targets"), lambda x: (x["base"] == "punct") & x["targets"].isNull()))
-    per = done.select("split", "n", F.size("projected").alias("m"), F.size(glued).alias("glued"), opening.alias("opening"), inner.alias("inner"), kept.alias("kept"))
+    """Per split: words and syllables, glued and kept punctuation, inner arcs, and whether the accounts agree: the numbers, and the tokens that are gone with those that were glued."""
+    glued = _glued(spark, sf_dir)
+    is_glued, opening = F.col("target").isNotNull(), F.col("target") > F.col("id")
+    before = glued.groupBy("sent_no").agg(
+        F.count("*").alias("n"), F.count_if(is_glued).alias("glued"), F.count_if(opening).alias("opening"), F.count_if((F.col("base") == "punct") & ~is_glued).alias("kept"),
+        F.sort_array(F.collect_list(F.when(~is_glued, F.col("id")))).alias("staying"),
+    )
+    after = trees.project(glued, "sent_no").groupBy("sent_no").agg(F.count("*").alias("m"), F.count_if("inner").alias("inner_arcs"), F.sort_array(F.collect_set("word_id")).alias("stayed"))
+    per = before.join(after, "sent_no").join(table(spark, sf_dir, "conllu_sentences").select("sent_no", "split"), "sent_no")
+    agree = (F.col("m") == F.col("n") - F.col("glued") + F.col("inner_arcs")) & (F.col("staying") == F.col("stayed"))
     return per.groupBy("split").agg(
         F.count("*").alias("sentences"), F.sum("n").alias("words"), F.sum("m").alias("syllables"), F.sum("opening").alias("glued_opening"),
-        F.sum(F.col("glued") - F.col("opening")).alias("glued_trailing"), F.sum("inner").alias("inner_arcs"), F.sum("kept").alias("kept_punct"),
-        F.bool_and(F.col("m") == F.col("n") - F.col("glued") + F.col("inner")).alias("accounts_agree"),
+        F.sum(F.col("glued") - F.col("opening")).alias("glued_trailing"), F.sum("inner_arcs").alias("inner_arcs"), F.sum("kept").alias("kept_punct"),
+        F.bool_and(agree).alias("accounts_agree"),
     )
 
 
-def _projective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syllable trees that are valid and projective."""
-    done = trees.project(_glued(spark, sf_dir)).select("sent_no", "split", F.col("projected").alias("toks"))
-    valid = materialize(_valid(trees.with_tree(done)), "syllables")
-    broken = trees.spans(trees.ancestors(valid, "sent_no"), "sent_no").filter("right_edge - left_edge + 1 <> size").select("sent_no").distinct()
-    return valid.join(broken, "sent_no", "left_anti")
+def syllable_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_no, id, head, deprel, word_id, ...) of the syllable trees, written once as several stages read them."""
+    return materialize(trees.project(_glued(spark, sf_dir), "sent_no"), "syllables")
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.oracle_actions(trees.spans(trees.ancestors(syllable_trees(spark, sf_dir), "sent_no"), "sent_no"), "sent_no")
 
 
 def oracle_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oracle's actions for every projective syllable tree."""
-    return trees.oracle_actions(_projective(spark, sf_dir), "sent_no")
+    return _actions(spark, sf_dir).drop("head")
+
+
+def _as_lists(actions: DataFrame, key: str) -> DataFrame:
+    """Each sentence's actions in order, and its heads by id."""
+    steps = F.sort_array(F.collect_list(F.struct("step", "kind", "label")))
+    heads = F.sort_array(F.collect_list(F.when(F.col("kind") == "SHIFT", F.struct(F.col("dependent").alias("id"), "head"))))
+    lists = actions.groupBy(key).agg(steps.alias("a"), heads.alias("h"))
+    return lists.select(key, F.transform("a", lambda x: x["kind"]).alias("kinds"), F.transform("a", lambda x: x["label"]).alias("labels"), F.transform("h", lambda x: x["head"]).alias("heads"))
 
 
 def oracle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split: trees whose actions were replayed, trees that came out as they were, and actions."""
-    trees_in = _projective(spark, sf_dir)
-    kinds = trees.oracle_actions(trees_in, "sent_no").groupBy("sent_no").agg(F.sort_array(F.collect_list(F.struct("step", "kind"))).alias("a"))
-    built = trees_in.join(kinds, "sent_no").withColumn("built", trees.replay(F.transform("a", lambda x: x["kind"]), F.col("n")))
-    return built.groupBy("split").agg(
-        F.count("*").alias("attempted"), F.count_if(F.coalesce(F.col("built") == F.col("heads"), F.lit(False))).alias("passed"), F.sum(F.size("a")).alias("actions")
+    lists = _as_lists(_actions(spark, sf_dir), "sent_no").withColumn("ran", trees.replay(F.size("heads"), "kinds", "labels"))
+    ran = lists.join(table(spark, sf_dir, "conllu_sentences").select("sent_no", "split"), "sent_no")
+    return ran.groupBy("split").agg(
+        F.count("*").alias("attempted"), F.count_if(F.col("ran.reason").isNull() & (F.col("ran.heads") == F.col("heads"))).alias("passed"), F.sum(F.size("kinds")).alias("actions")
     )
 
 
+def oracle_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each parsed sentence from whose syllables no oracle can be built, with the first reason: ids, blank forms, unknown labels, the tree, then arcs that cross."""
+    parsed = materialize(_parsed(spark, sf_dir), "parsed")
+    blank = F.exists("toks", lambda t: F.trim(F.coalesce(t["form"], F.lit(""))) == "")
+    unknown = F.exists("toks", lambda t: ~F.coalesce(t["deprel"].isin(list(LABEL_BASE)), F.lit(False)))
+    reason = F.when(~F.coalesce("consecutive", F.lit(False)), "ids").when(blank, "form").when(unknown, "label").otherwise(trees.first_defect()["reason"])
+    rejected = parsed.select("sent_id", reason.alias("reason")).filter("reason is not null")
+    glued = trees.glue(trees.tokens(_ready(parsed), "sent_id"), "sent_id")
+    syllables = materialize(trees.project(glued, "sent_id"), "syllables")
+    crossed = trees.projective(trees.ancestors(syllables, "sent_id"), "sent_id").filter("not by_spans")
+    return rejected.unionByName(crossed.select("sent_id", F.lit("crossing").alias("reason")))
+
+
+def replay_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed sentences whose arcs, with base labels and in the order of the oracle, are not all legal: the step and the reason of the first action that is refused.
+
+    The order is that of ``trees.oracle_actions`` without its demand that the tree be projective; circles have no actions and stay ``unfinished``.
+    """
+    toks = trees.tokens(_parsed(spark, sf_dir).filter("consecutive"), "sent_id").withColumn("deprel", label_base(F.col("deprel")))
+    toks = materialize(toks, "parsed")
+    edges = trees.spans(trees.ancestors(toks, "sent_id"), "sent_id").withColumn("size", F.col("right_edge") - F.col("left_edge") + 1)
+    n = toks.groupBy("sent_id").agg(F.count("*").alias("n"))
+    lists = n.join(_as_lists(trees.oracle_actions(edges, "sent_id"), "sent_id"), "sent_id", "left").withColumn("ran", trees.replay("n", "kinds", "labels"))
+    return lists.filter("ran.reason is not null").select("sent_id", "ran.step", "ran.reason")
+
+
 # one row per token, and what they say of each tree
 _TOK = """
 tok as (select sent_no, split, unnest(toks, max_depth := 2) from conllu_sentences),
@@ -147,6 +190,14 @@ coded as (
 ),
 good as (select t.* from tok t join coded c using (sent_no) where c.errors = ''),
 """
+# the same of the parsed sentences
+_PARSED = _TOK.replace(
+    "tok as (select sent_no, split, unnest(toks, max_depth := 2) from conllu_sentences)",
+    "tok as (select distinct sent_id as sent_no, null as split, idx + 1 as id, form, upos, head, deprel, idx + 1 as line_number from ud_tokens)",
+).replace(
+    "n as (select sent_no, split, coalesce(len(toks), 0) as n, coalesce(list_transform(toks, lambda t: t.id) = range(1, len(toks) + 1)::int[], true) as ordered from conllu_sentences)",
+    "n as (select sent_no, null as split, count(*) as n, min(id) = 1 and max(id) = count(*) and count(distinct id) = count(*) as ordered from tok group by 1)",
+)
 _DOWN = """
 down as (
   select sent_no, id, id as anc, 0 as distance from good
@@ -205,20 +256,37 @@ def _with(*parts: str) -> str:
     return "with recursive " + "".join(parts).rstrip().rstrip(",")
 
 
+_FIRST = """
+bad as (select t.sent_no, t.line_number, t.id, case when head is null or head < 0 or head > n.n then 'head_range' when (head = 0) <> coalesce(deprel = 'root', false) then 'root_label' end as reason from tok t join n using (sent_no)),
+lead as (select sent_no, arg_min(reason, id) as reason, arg_min(line_number, id) as line_number from bad where reason is not null group by 1),
+top as (select sent_no, arg_min(line_number, id) as line_number from tok group by 1),
+astray as (select sent_no, arg_min(line_number, id) as line_number from (select *, row_number() over (partition by sent_no order by id) as place from tok) where id <> place group by 1),
+strict as (
+  select c.sent_no, case when not ordered then 'ids' else coalesce(l.reason, case when root_count then 'root_count' else 'cycle' end) end as reason,
+    case when not ordered then a.line_number else coalesce(l.line_number, top.line_number) end as line_number
+  from coded c left join lead l using (sent_no) left join top using (sent_no) left join astray a using (sent_no) where not ordered or l.reason is not null or root_count or c.sent_no in (select sent_no from circle)
+),
+"""
+_CROSSED = """
+arcs as (select sent_no, least(id, head) as a, greatest(id, head) as b from good),
+crossed as (select distinct x.sent_no from arcs x join arcs y on x.sent_no = y.sent_no and x.a < y.a and y.a < x.b and x.b < y.b),
+"""
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_errors, strict_tree_errors, single_rooted, projectivity, subtree_spans, glue_targets, projection_rows, projection_stats, oracle_actions, oracle_replay,
+        tree_errors, strict_tree_errors, annotated_tree_errors, single_rooted, projectivity, subtree_spans, glue_targets, projection_rows, projection_stats, oracle_actions, oracle_replay,
+        oracle_rejects, replay_refusals,
     )
 }
 SQL = {
-    "tree_errors": _with(_TOK) + " select sent_no, errors from coded",
-    "strict_tree_errors": _with(_TOK, """
-bad as (select t.sent_no, t.line_number, t.id, case when head is null or head < 0 or head > n.n then 'head_range' when (head = 0) <> coalesce(deprel = 'root', false) then 'root_label' end as reason from tok t join n using (sent_no)),
-lead as (select sent_no, arg_min(reason, id) as reason, arg_min(line_number, id) as line_number from bad where reason is not null group by 1),
-top as (select sent_no, arg_min(line_number, id) as line_number from tok group by 1)
-""") + """ select c.sent_no, coalesce(l.reason, case when root_count then 'root_count' else 'cycle' end) as reason, coalesce(l.line_number, top.line_number) as line_number
-from coded c left join lead l using (sent_no) left join top using (sent_no) where l.reason is not null or root_count or c.sent_no in (select sent_no from circle)""",
+    "tree_errors": _with(_PARSED) + " select sent_no as sent_id, errors from coded",
+    "strict_tree_errors": _with(_PARSED, _FIRST) + " select sent_no as sent_id, reason, line_number from strict",
+    "annotated_tree_errors": _with(_TOK) + " select split, errors, count(*) as sentences from coded group by 1, 2",
+    "oracle_rejects": _with(_PARSED, _FIRST, _GLUE, _ORACLE, """
+poor as (select sent_no, bool_or(trim(coalesce(form, '')) = '') as form, bool_or(coalesce(deprel not in (select label from deprel_labels), true)) as label from tok group by 1),
+""") + """ select * from (select c.sent_no as sent_id, case when not ordered then 'ids' when p.form then 'form' when p.label then 'label'
+  else coalesce(s.reason, case when c.sent_no in (select sent_no from proj) and c.sent_no not in (select sent_no from flat) then 'crossing' end) end as reason
+from coded c join poor p using (sent_no) left join strict s using (sent_no)) where reason is not null""",
     "single_rooted": """
 with recursive tok as (select distinct sent_id, idx, head, source from ud_tokens),
 linked as (select t.*, p.idx is not null as found from tok t left join tok p on p.sent_id = t.sent_id and p.idx = t.head - 1),
@@ -232,18 +300,16 @@ s as (
   from linked group by sent_id
 )
 select source, count(*) as sentences, count_if(ok)::bigint as single_rooted from s group by source""",
-    "projectivity": _with(_TOK) + """,
-arcs as (select sent_no, least(id, head) as a, greatest(id, head) as b from good),
-crossed as (select distinct x.sent_no from arcs x join arcs y on x.sent_no = y.sent_no and x.a < y.a and y.a < x.b and x.b < y.b)
-select sent_no, sent_no not in (select sent_no from crossed) as by_spans, sent_no not in (select sent_no from crossed) as by_descent from coded where errors = ''""",
+    "projectivity": _with(_PARSED, _CROSSED)
+    + " select sent_no as sent_id, sent_no not in (select sent_no from crossed) as by_spans, sent_no not in (select sent_no from crossed) as by_descent from coded where errors = ''",
     "subtree_spans": _with(_TOK, _DOWN) + ", deep as (select sent_no, id, max(distance) as depth from down group by all) select sent_no, id, depth, left_edge, right_edge, size from span join deep using (sent_no, id)",
     "glue_targets": _with(_TOK, _GLUE) + " select sent_no, id, target as target_id from glued where target is not null",
     "projection_rows": _with(_TOK, _GLUE) + " select sent_no, id::int as id, form, head::int as head, deprel, word_id, line_number from proj",
     "projection_stats": _with(_TOK, _GLUE) + """,
-w as (select sent_no, any_value(split) as split, count(*) as n, count(target) as glued, count_if(target > id) as opening, count_if(base = 'punct' and target is null) as kept from glued group by 1),
-p as (select sent_no, count(*) as m, count_if(k > 1) as inner_arcs from syl group by 1)
+w as (select sent_no, any_value(split) as split, count(*) as n, count(target) as glued, count_if(target > id) as opening, count_if(base = 'punct' and target is null) as kept, list_sort(list(id) filter (where target is null)) as staying from glued group by 1),
+p as (select sent_no, count(*) as m, count_if(k > 1) as inner_arcs, list_sort(list(distinct word_id)) as stayed from syl group by 1)
 select split, count(*) as sentences, sum(n)::bigint as words, sum(m)::bigint as syllables, sum(opening)::bigint as glued_opening, sum(glued - opening)::bigint as glued_trailing,
-  sum(inner_arcs)::bigint as inner_arcs, sum(kept)::bigint as kept_punct, bool_and(m = n - glued + inner_arcs) as accounts_agree
+  sum(inner_arcs)::bigint as inner_arcs, sum(kept)::bigint as kept_punct, bool_and(m = n - glued + inner_arcs and staying = stayed) as accounts_agree
 from w join p using (sent_no) group by split""",
     "oracle_actions": _with(_TOK, _GLUE, _ORACLE) + " select sent_no, row_number() over (partition by sent_no order by spot, rank, -id)::int as step, kind, label, id::int as dependent from acts",
     "oracle_replay": _with(_TOK, _GLUE, _ORACLE) + """

@@ -39,12 +39,14 @@ def test_all_small_trees(spark):
             if not any(a < c < b < d for a, b in arcs for c, d in arcs):
                 flat.add(k)
     good = df.filter(trees.diagnosis() == "")
-    spans = trees.spans(trees.ancestors(good, "sent_no"), "sent_no")
-    by_span = {r.sent_no for r in spans.groupBy("sent_no").agg(F.bool_and(F.expr("right_edge - left_edge + 1 = size")).alias("ok")).filter("ok").collect()}
-    assert by_span == flat
-    acts = trees.oracle_actions(good.filter(F.col("sent_no").isin(list(flat))), "sent_no").groupBy("sent_no").agg(F.sort_array(F.collect_list(F.struct("step", "kind"))).alias("a"))
-    built = good.join(acts, "sent_no").select("sent_no", "heads", trees.replay(F.transform("a", lambda x: x["kind"]), F.col("n")).alias("built")).collect()
-    assert len(built) == len(flat) and all(r.heads == r.built for r in built)
+    pairs = trees.ancestors(trees.tokens(good, "sent_no"), "sent_no")
+    judged = trees.projective(pairs, "sent_no").collect()
+    assert {r.sent_no for r in judged} == valid and {r.sent_no for r in judged if r.by_spans} == flat and {r.sent_no for r in judged if r.by_descent} == flat
+    acts = trees.oracle_actions(trees.spans(pairs, "sent_no"), "sent_no").groupBy("sent_no").agg(F.sort_array(F.collect_list(F.struct("step", "kind", "label"))).alias("a"))
+    lists = acts.select("sent_no", F.transform("a", lambda x: x["kind"]).alias("kinds"), F.transform("a", lambda x: x["label"]).alias("labels"))
+    built = good.join(lists, "sent_no").select("sent_no", "heads", trees.replay("n", "kinds", "labels").alias("b")).collect()
+    assert {r.sent_no for r in built} == flat and all(r.heads == r.b.heads and r.b.reason is None for r in built)
+    assert all(r.b.labels == ["root" if h == 0 else "dep" for h in r.heads] for r in built)
 
 
 def test_broken_and_empty(spark):
@@ -58,15 +60,41 @@ def test_broken_and_empty(spark):
     assert trees.with_tree(_df(spark, [])).count() == 0
 
 
-def test_impossible_actions(spark):
-    df = spark.createDataFrame([(["SHIFT", "LEFT_ARC"], 1), (["RIGHT_ARC"], 1), (["SHIFT", "SHIFT"], 1), ([], 1), (["SHIFT", "RIGHT_ARC"], 1)], "a array<string>, n int")
-    assert [r[0] for r in df.select(trees.replay(F.col("a"), F.col("n"))).collect()] == [None, None, None, [-1], [0]]
+def test_refused_actions(spark):
+    S, L, R = "SHIFT", "LEFT_ARC", "RIGHT_ARC"
+    cases = [
+        ([S, L], [None, "dep"], 1, 2, "root_dependent"), ([R], ["dep"], 1, 1, "short_stack"), ([S, S], [None, None], 1, 2, "empty_buffer"), ([], [], 1, None, "unfinished"),
+        ([S, R], [None, "root"], 1, None, None), ([S, R], [None, "dep"], 1, 2, "root_label"), ([S, R], [None, "root"], 2, 2, "root_early"), ([S, S, L], [None, None, "root"], 2, 3, "root_label"),
+        ([S, S, L], [None, None, "nsubj:pass"], 2, 3, "label"), ([S], ["dep"], 1, 1, "label"), (["REDUCE"], [None], 1, 1, "kind"), ([S, S, R, R], [None, None, "obj", "root"], 2, None, None), (None, None, 2, None, "unfinished"),
+    ]
+    df = spark.createDataFrame([(k, n, a, b) for k, (a, b, n, *_) in enumerate(cases)], "k int, n int, a array<string>, b array<string>")
+    got = {r.k: (r.x.step, r.x.reason) for r in df.select("k", trees.replay("n", "a", "b").alias("x")).collect()}
+    assert got == {k: (step, reason) for k, (*_, step, reason) in enumerate(cases)}
+
+
+def test_legal_states_against_the_rules():
+    """Every reachable state of three words: what is legal is what a search over all actions finds possible, and each path ends as a tree."""
+    done, paths = set(), [()]
+    while paths:
+        path = paths.pop()
+        heads, _, step, reason = trees.run_actions(3, [k for k, _ in path], [x for _, x in path])
+        if step is None and reason is None:
+            done.add(tuple(heads))
+        if step is None and reason:
+            paths += [(*path, (k, x)) for k, x in (("SHIFT", None), ("LEFT_ARC", "dep"), ("RIGHT_ARC", "dep"), ("RIGHT_ARC", "root"), ("LEFT_ARC", "root"))]
+    flat = {h for h in product(range(4), repeat=3) if h.count(0) == 1 and all(_ends(h, i) for i in (1, 2, 3)) and not any(a < c < b < d for a, b in _arcs(h) for c, d in _arcs(h))}
+    assert done == flat
+
+
+def _arcs(heads):
+    return [(min(i, h), max(i, h)) for i, h in enumerate(heads, 1)]
 
 
 def _project(spark, sent):
-    df = trees.project(trees.glue(trees.with_tree(_df(spark, [sent]))))
-    row = df.select("targets", "projected").first()
-    return row.targets, [(p.form, p.head, p.deprel) for p in row.projected]
+    glued = trees.glue(trees.tokens(_df(spark, [sent]), "sent_no"), "sent_no")
+    rows = trees.project(glued, "sent_no").orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, len(rows) + 1))
+    return [r.target for r in glued.orderBy("id").collect()], [(r.form, r.head, r.deprel) for r in rows]
 
 
 def test_projection(spark):
@@ -88,3 +116,15 @@ def test_heads_that_were_glued_away(spark):
 def test_root_punctuation_stays(spark):
     assert _project(spark, [(".", 0, "root"), ("a b", 1, "dep")])[1] == [(".", 0, "root"), ("a", 1, "dep"), ("b", 2, "dep")]
     assert _project(spark, [("…", 0, "root"), ('"', 1, "punct"), ('"', 1, "punct"), ("x", 1, "dep")])[0] == [None, 4, 1, None]
+
+
+def test_long_sentence(spark):
+    """A sentence of 30,000 words, half of them punctuation, goes through all steps."""
+    n = 30_000
+    rows = [(1, i, "a b" if i % 2 else ",", "X", 0 if i == 1 else (i - 2 if i % 2 and i % 100 > 1 else 1), "root" if i == 1 else "dep" if i % 2 else "punct", i) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "sent_no int, id int, form string, upos string, head int, deprel string, line_number int")
+    syllables = trees.project(trees.glue(df, "sent_no"), "sent_no").cache()
+    assert syllables.count() == n
+    actions = trees.oracle_actions(trees.spans(trees.ancestors(syllables, "sent_no"), "sent_no"), "sent_no").groupBy("sent_no").agg(F.sort_array(F.collect_list(F.struct("step", "kind", "label"))).alias("a"))
+    ran = actions.select(trees.replay(F.lit(n), F.transform("a", lambda x: x["kind"]), F.transform("a", lambda x: x["label"])).alias("x")).first().x
+    assert ran.reason is None and ran.heads == [r.head for r in syllables.orderBy("id").collect()]
