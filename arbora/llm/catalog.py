@@ -26,8 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that repeat another in other dress, with the first of their group."""
     keys = materialize(same_records.record_keys(table(spark, sf_dir, "seg_sentences")), "keys")
-    groups = materialize(same_records.same_groups(keys), "groups")
-    return same_records.members(keys, groups)
+    return same_records.members(keys, same_records.same_groups(keys))
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:

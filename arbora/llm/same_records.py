@@ -14,6 +14,8 @@ from arbora.storage import materialize
 
 #: Stands for a missing sent_id, which equals only another missing one.
 _MISSING = "\0"
+#: Stands before every sent_id, so that an empty one is a value too.
+_SENT = "\1"
 
 
 @lru_cache(maxsize=65536)
@@ -28,6 +30,7 @@ def canonical(value: str) -> str:
 
 @F.pandas_udf(StringType())
 def _canonical(values: pd.Series) -> pd.Series:
+    """The mark of a sent_id stays in front."""
     return values.map(canonical)
 
 
@@ -42,15 +45,14 @@ def record_keys(records: DataFrame) -> DataFrame:
     once = records.filter("record_id is not null").select("record_id", F.coalesce("sent_id", F.lit(_MISSING)).alias("sent_id"), F.col("tokens.idx").alias("idx"), F.col("tokens.form").alias("form"))
     if not once.groupBy("record_id").count().filter("count > 1").isEmpty():
         once = materialize(once.dropDuplicates(["record_id"]), "once")
-    values = once.select(F.explode(F.concat(F.array(F.struct(F.lit("sent_id").alias("kind"), F.col("sent_id").alias("value"))), F.transform(F.coalesce("form", F.array().cast("array<string>")), lambda f: F.struct(F.lit("form").alias("kind"), f.alias("value"))))).alias("v"))
-    values = materialize(values.select("v.*").filter("value is not null").distinct().withColumn("canonical", _canonical("value")), "values")
-    codes = materialize(
-        values.filter("canonical <> '' or kind = 'sent_id'").select("kind", "canonical").distinct().withColumn("code", F.monotonically_increasing_id()), "codes"
-    )
-    dictionary = materialize(values.join(codes, ["kind", "canonical"]).select("kind", "value", "code"), "dictionary")
-    forms = once.select("record_id", F.explode(F.arrays_zip("idx", "form")).alias("c")).select("record_id", F.col("c.idx").alias("position"), F.lit("form").alias("kind"), F.col("c.form").alias("value"))
-    cells = once.select("record_id", F.lit(-(2**31)).alias("position"), F.lit("sent_id").alias("kind"), F.col("sent_id").alias("value")).unionByName(forms)
-    coded = cells.join(dictionary, ["kind", "value"])
+    marked = F.concat(F.lit(_SENT), "sent_id")
+    values = once.select(F.explode(F.concat(F.array(marked), F.coalesce("form", F.array().cast("array<string>")))).alias("value")).filter("value is not null")
+    values = materialize(values.distinct().withColumn("canonical", _canonical("value")), "values")
+    codes = materialize(values.filter("canonical <> ''").select("canonical").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    dictionary = values.join(codes, "canonical").select("value", "code")
+    forms = once.select("record_id", F.explode(F.arrays_zip("idx", "form")).alias("c")).select("record_id", F.col("c.idx").alias("position"), F.col("c.form").alias("value"))
+    cells = forms.unionByName(once.select("record_id", F.lit(-(2**31)).alias("position"), marked.alias("value")))
+    coded = cells.join(dictionary, "value")
     return coded.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("position", "code"))).alias("t")).select(
         "record_id", F.transform("t", lambda x: x["code"]).alias("key")
     )
