@@ -7,16 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.functions import text as tx
-from arbora.functions.vocabulary import BASE_LABELS, DIRECTION_FORMS, FOCUS_FORMS, REGISTERS, SOURCES, UPOS
+from arbora.functions.vocabulary import BASE_LABELS, DIRECTION_FORMS, FOCUS_FORMS, MARKER, REGISTERS, SOURCES, UPOS
 from arbora.sources import conllu
 from arbora.storage import table
 
+#: The ids of annotated sentences, and what is asked of an annotated set.
+SENT_ID = "^src-[0-9]{3}-(train|dev|test)-[0-9]+$"
+LEAST_SENTENCES, LEAST_TAGS, MOST_SYNTHETIC = 20, 10, 0.2
+
+
+def _at(toks: Column | str, wanted: Column) -> Column:
+    """The token with that id: at its place where ids count from 1, else by search."""
+    there = F.get(toks, F.coalesce(wanted, F.lit(0)) - 1)
+    return F.when(there["id"] == wanted, there).otherwise(F.try_element_at(F.filter(toks, lambda x: x["id"] == wanted), F.lit(1)))
+
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per token with its head's form, upos, deprel and id, read from the same sentence without a join."""
-    rows = table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", "toks", F.explode("toks").alias("t"))
-    head = F.try_element_at(F.filter("toks", lambda x: x["id"] == F.col("t.head")), F.lit(1))
-    return rows.withColumn("h", head)
+    """One row per token beside its head and the next token, and whether a marker hangs on it; looked up within the sentence, without a join."""
+    s = table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", "toks")
+    s = s.withColumn("marked", F.transform(F.filter("toks", lambda c: (F.lower(c["form"]) == MARKER) & (c["deprel"] == "case")), lambda c: c["head"]))
+    beside = F.transform("toks", lambda t: F.struct(t.alias("t"), _at("toks", t["head"]).alias("h"), _at("toks", t["id"] + 1).alias("n"), F.array_contains("marked", t["id"]).alias("marked")))
+    return s.select("sent_no", "split", F.explode(beside).alias("x")).select("sent_no", "split", "x.*")
 
 
 def stub_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,41 +87,41 @@ def focus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tok.select("form", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in of.items()])).alias("x")).groupBy("form", "x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
-def _patterns(tok: DataFrame) -> Column:
-    """All patterns that a token shows, as (pattern, key)."""
-    t, h = F.col("t"), F.col("h")
-    form, rel, has_head = F.lower(t["form"]), t["deprel"], F.col("h").isNotNull()
-    verb_below_di = has_head & (F.lower(h["form"]) == "đi") & (t["upos"] == "VERB") & (t["id"] > h["id"])
-    hit = lambda when, pattern, key: F.when(when, F.struct(F.lit(pattern).alias("pattern"), key.alias("key")))
-    marked = F.exists("toks", lambda c: (c["head"] == t["id"]) & (F.lower(c["form"]) == "của") & (c["deprel"] == "case"))
-    following = F.try_element_at(F.filter("toks", lambda x: x["id"] == t["id"] + 1), F.lit(1))
-    arc = F.when(following["head"] == t["id"], "di_is_head").when(t["head"] == following["id"], "following_verb_is_head").otherwise("no_direct_arc")
-    side = F.when(t["head"] < t["id"], "left").otherwise("right")
-    return F.array_compact(
-        F.array(
-            hit(form.isin(DIRECTION_FORMS), "direction_form", rel),
-            hit(form.isin(DIRECTION_FORMS) & (t["upos"] == "VERB"), "direction_verb", rel),
-            hit(verb_below_di, "verb_below_di", rel),
-            hit(verb_below_di & (t["id"] == h["id"] + 1), "verb_next_to_di", rel),
-            hit((form == "đi") & (following["upos"] == "VERB"), "di_and_next_verb", arc),
-            hit(rel.isin("compound:svc", "compound:dir"), "compound_order", F.concat_ws(":", rel, F.concat(F.lit("head_"), side))),
-            hit(has_head & rel.isin("clf", "clf:det"), "classifier_pair", F.concat(rel, F.lit(":"), h["upos"], F.lit("->"), t["upos"])),
-            hit(rel == "nmod:poss", "possessive", F.when(marked, "with_marker").otherwise("without_marker")),
-            hit(has_head & (F.substring_index(rel, ":", 1) == "obj"), "object_position", F.when(t["id"] < t["head"], "before_head").otherwise("after_head")),
-        )
-    )
+def _in(column: str, values: list[str]) -> str:
+    return f"{column} in ({', '.join(repr(v) for v in values)})"
+
+
+# The patterns of a token t beside its head h and the next token n: when they show, and what is counted of them.
+# The keys of the cases.
+_VERB_BELOW_GO = "lower(h.form) = 'đi' and t.upos = 'VERB' and t.id > h.id"
+PATTERNS = {
+    "direction_form": (_in("lower(t.form)", DIRECTION_FORMS), "t.deprel"),
+    "direction_verb": (_in("lower(t.form)", DIRECTION_FORMS) + " and t.upos = 'VERB'", "t.deprel"),
+    "verb_below_di": (_VERB_BELOW_GO, "t.deprel"),
+    "verb_next_to_di": (f"{_VERB_BELOW_GO} and t.id = h.id + 1", "t.deprel"),
+    "di_and_next_verb": ("lower(t.form) = 'đi' and n.upos = 'VERB'", "if(n.head = t.id, 'di_is_head', if(t.head = n.id, 'following_verb_is_head', 'no_direct_arc'))"),
+    "compound_order": ("t.deprel in ('compound:svc', 'compound:dir')", "concat(t.deprel, ':head_', if(t.head < t.id, 'left', 'right'))"),
+    "classifier_pair": ("h is not null and t.deprel in ('clf', 'clf:det')", "concat(t.deprel, ':', h.upos, '->', t.upos)"),
+    "possessive": ("t.deprel = 'nmod:poss'", "if(marked, 'with_marker', 'without_marker')"),
+    "object_position": ("h is not null and split_part(t.deprel, ':', 1) = 'obj'", "if(t.id < t.head, 'before_head', 'after_head')"),
+}
+
+
+def patterns_of(beside: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(pattern, key, n) over tokens beside their neighbours: all patterns in one pass."""
+    shown = [F.when(F.expr(when), F.struct(F.lit(name).alias("pattern"), F.expr(key).alias("key"))) for name, (when, key) in patterns.items()]
+    return beside.select(F.explode(F.array_compact(F.array(*shown))).alias("p")).groupBy("p.pattern", "p.key").agg(F.count("*").alias("n"))
 
 
 def head_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all head and neighbour patterns in one pass."""
-    tok = _tokens(spark, sf_dir)
-    return tok.select(F.explode(_patterns(tok)).alias("p")).groupBy("p.pattern", "p.key").agg(F.count("*").alias("n"))
+    """Counts of all head and neighbour patterns."""
+    return patterns_of(_tokens(spark, sf_dir), PATTERNS)
 
 
 def compound_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serial and directional compounds whose head follows."""
-    tok = table(spark, sf_dir, "conllu_sentences").select("sent_no", F.explode("toks").alias("t"))
-    return tok.filter(F.col("t.deprel").isin("compound:svc", "compound:dir") & (F.col("t.head") > F.col("t.id"))).select("sent_no", F.col("t.id").alias("dependent_id"), F.col("t.deprel").alias("label"))
+    """Serial and directional compounds of the parsed sentences whose head follows."""
+    tok = table(spark, sf_dir, "ud_tokens").filter(F.col("deprel").isin("compound:svc", "compound:dir") & (F.col("head") > F.col("idx") + 1))
+    return tok.select("sent_id", (F.col("idx") + 1).alias("dependent_id"), F.col("deprel").alias("label")).distinct()
 
 
 def _violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -188,14 +199,30 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each form stands in its sentence's text: the k-th of equal forms at the k-th occurrence that does not overlap; -1 if there is none."""
-    s = table(spark, sf_dir, "conllu_sentences").select("sent_no", F.try_element_at("metadata", F.lit("text")).alias("text"), F.explode("toks").alias("t"))
-    rows = s.select("sent_no", "text", F.col("t.id").alias("id"), F.col("t.form").alias("form")).filter("text is not null and form <> ''")
-    k = F.row_number().over(W.partitionBy("sent_no", "form").orderBy("id"))
-    pieces = F.split("text", F.concat(F.lit("\\Q"), F.col("form"), F.lit("\\E")), -1)
-    cut = rows.withColumn("k", k).withColumn("before", F.slice(pieces, F.lit(1), F.col("k")))
-    start = F.length(F.array_join("before", "")) + (F.col("k") - 1) * F.length("form")
-    return cut.withColumn("found", F.size(pieces) > F.col("k")).select("sent_no", "id", F.when(F.col("found"), start).otherwise(-1).alias("char_start"))
+    """Where each form stands in its sentence's text: the k-th of equal forms at the k-th occurrence that does not overlap; -1 if there is none.
+
+    A text is searched once for each distinct form, and the occurrences meet the tokens by their number.
+    """
+    s = table(spark, sf_dir, "conllu_sentences").select("sent_no", F.try_element_at("metadata", F.lit("text")).alias("text"), "toks").filter("text is not null")
+    rows = s.select("sent_no", F.explode("toks").alias("t")).select("sent_no", F.col("t.id").alias("id"), F.col("t.form").alias("form")).filter("form <> ''")
+    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy("sent_no", "form").orderBy("id")))
+    forms = s.select("sent_no", "text", F.explode(F.array_distinct("toks.form")).alias("form")).filter("form <> ''")
+    gaps_between = F.transform(F.split("text", F.concat(F.lit("\\Q"), F.replace("form", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1), lambda p: F.length(p))
+    pieces = forms.select("sent_no", "form", gaps_between.alias("g")).select("sent_no", "form", F.posexplode(F.slice("g", F.lit(1), F.size("g") - 1)).alias("p", "gap"))
+    so_far = F.sum("gap").over(W.partitionBy("sent_no", "form").orderBy("p"))
+    found = pieces.select("sent_no", "form", (F.col("p") + 1).alias("k"), (so_far + F.col("p") * F.length("form")).cast("int").alias("start"))
+    return numbered.join(found, ["sent_no", "form", "k"], "left").select("sent_no", "id", F.coalesce("start", F.lit(-1)).alias("char_start"))
+
+
+def recovered_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: forms, those found in their text, and those that the found place gives back when it is cut out."""
+    s = table(spark, sf_dir, "conllu_sentences")
+    forms = s.select("sent_no", "split", F.try_element_at("metadata", F.lit("text")).alias("text"), F.explode("toks").alias("t")).select("sent_no", "split", "text", F.col("t.id").alias("id"), F.col("t.form").alias("form"))
+    placed = forms.join(occurrences(spark, sf_dir), ["sent_no", "id"], "left")
+    back = F.substring(F.col("text"), F.col("char_start") + 1, F.length("form"))
+    return placed.groupBy("split").agg(
+        F.count("*").alias("forms"), F.count_if(F.col("char_start") >= 0).alias("found"), F.count_if((F.col("char_start") >= 0) & (back == F.col("form"))).alias("recovered")
+    )
 
 
 def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,11 +230,13 @@ def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "conllu_sentences").withColumn("toks", F.coalesce("toks", F.array()))
     m = lambda key: F.try_element_at("metadata", F.lit(key))
     spoken = F.array_join(F.transform("toks", lambda t: t["form"]), " ")
+    tags = F.filter(F.transform(F.split(F.coalesce(m("constructions"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return _violations(
         s,
         {"sent_id": F.trim(m("sent_id")) != "", "register": m("register").isin(REGISTERS), "synthetic": m("synthetic").isin("true", "false"), "uncertain": m("uncertain").isin("true", "false"),
          "accessed": m("accessed").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.expr("try_to_timestamp(metadata['accessed'], 'yyyy-MM-dd')").isNotNull(),
-         "source_url": (m("synthetic") != "false") | m("source_url").rlike("^https?://[^/?#]+"), "text": m("text") == spoken},
+         "source_url": (m("synthetic") != "false") | m("source_url").rlike("^https?://[^/?#]+"), "text": m("text") == spoken, "nfc": tx.is_nfc(m("text")),
+         "id_pattern": m("sent_id").rlike(SENT_ID), "repeated_tags": F.size(tags) == F.size(F.array_distinct(tags))},
     )
 
 
@@ -218,29 +247,56 @@ def constructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("sentences"), F.avg(F.when(F.col("synthetic") == "true", 1.0).otherwise(0.0)).alias("synthetic_share"))
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold trees beside a second system: the table of edits moves the head of every tenth word to its neighbour and gives every eleventh the label ``dep``."""
-    gold = table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", F.explode("toks").alias("t")).select("sent_no", "split", "t.id", "t.form", "t.head", "t.deprel")
-    place = F.col("sent_no") * 7 + F.col("id")
-    edits = gold.filter((place % 10 == 0) | (place % 11 == 0)).select(
-        "sent_no", "id", F.when(place % 10 == 0, F.when(F.col("head") == F.col("id") - 1, F.col("id") + 1).otherwise(F.col("id") - 1)).alias("new_head"), F.when(place % 11 == 0, "dep").alias("new_deprel")
+def coverage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: sentences, distinct construction tags and the share of synthetic sentences, and whether they reach what is asked of an annotated set."""
+    tag = F.explode_outer(F.split(F.try_element_at("metadata", F.lit("constructions")), ","))
+    rows = table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", F.try_element_at("metadata", F.lit("synthetic")).alias("synthetic"), tag.alias("tag"))
+    sums = rows.groupBy("split").agg(
+        F.count_distinct("sent_no").alias("sentences"), F.count_distinct(F.nullif(F.trim("tag"), F.lit(""))).alias("tags"), F.count_distinct(F.when(F.col("synthetic") == "true", F.col("sent_no"))).alias("synthetic")
     )
-    return gold.join(edits, ["sent_no", "id"], "left").withColumn("sys_head", F.coalesce("new_head", "head")).withColumn("sys_deprel", F.coalesce("new_deprel", "deprel"))
+    return sums.withColumn("enough", (F.col("sentences") >= LEAST_SENTENCES) & (F.col("tags") >= LEAST_TAGS) & (F.col("synthetic") < MOST_SYNTHETIC * F.col("sentences")))
+
+
+def split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: distinct sentence ids and labels, ids that train holds too, and labels that are not in the vocabulary."""
+    s = table(spark, sf_dir, "conllu_sentences").select("split", F.try_element_at("metadata", F.lit("sent_id")).alias("sent_id"), "toks")
+    ids = s.filter("sent_id is not null").groupBy("sent_id").agg(F.collect_set("split").alias("splits"))
+    shared = ids.select(F.explode("splits").alias("split"), F.array_contains("splits", "train").alias("in_train")).groupBy("split").agg(F.count("*").alias("ids"), F.count_if("in_train").alias("ids_in_train"))
+    known = table(spark, sf_dir, "deprel_labels").select(F.col("label").alias("deprel"), F.lit(True).alias("known"))
+    labels = s.select("split", F.explode("toks.deprel").alias("deprel")).distinct().join(known, "deprel", "left")
+    return shared.join(labels.groupBy("split").agg(F.count("*").alias("labels"), F.count_if(F.col("known").isNull()).alias("unknown_labels")), "split")
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated trees beside the star parse of the same words: the first is the root, all others are ``dep`` below it."""
+    gold = table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", F.posexplode("toks").alias("p", "t"), F.get("toks", F.lit(0))["id"].alias("top"))
+    first = F.col("p") == 0
+    return gold.select("sent_no", "split", "t.id", "t.head", "t.deprel", F.when(first, 0).otherwise(F.col("top")).alias("sys_head"), F.when(first, "root").otherwise("dep").alias("sys_deprel"))
 
 
 def attachment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled and labelled attachment of the second system per split."""
+    """Unlabelled and labelled attachment of the star parse per split."""
     same_head, same_label = F.col("head") == F.col("sys_head"), F.col("deprel") == F.col("sys_deprel")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return _compared(spark, sf_dir).groupBy("split").agg(F.count("*").alias("words"), share(same_head).alias("uas"), share(same_head & same_label).alias("las"))
 
 
 def differing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per sentence: words in which the two systems differ."""
+    """Per sentence: words in which annotation and star parse differ."""
     differs = (F.col("head") != F.col("sys_head")) | (F.col("deprel") != F.col("sys_deprel"))
     return _compared(spark, sf_dir).groupBy("sent_no").agg(F.count("*").alias("words"), F.count_if(differs).alias("differing"))
 
 
+def syllables_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per corpus: segmented words whose document is stored, and those with a syllable that its text, both in NFC, does not hold."""
+    seg = table(spark, sf_dir, "seg_sentences").select("corpus", F.lower(F.substring_index(F.trim("sent_id"), ":", 1)).alias("hash"), F.explode("tokens.syllables").alias("syllables"))
+    seg = seg.groupBy("corpus", "hash", "syllables").agg(F.count("*").alias("n")).withColumn("joined", tx.nfc(F.array_join("syllables", "\n")))
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("content_hash").alias("hash"), "text").dropDuplicates(["hash"]).select("hash", tx.nfc(F.col("text")).alias("text"))
+    missing = F.exists(F.split("joined", "\n"), lambda x: ~F.contains(F.col("text"), x))
+    judged = seg.join(texts, "hash").select("corpus", "n", missing.alias("missing"))
+    return judged.groupBy("corpus").agg(F.sum("n").alias("words"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("astray"))
+
+
 def line_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of every sentence of the line files."""
     return conllu.metadata(conllu.sentence_lines(table(spark, sf_dir, "conllu_lines")))
@@ -251,6 +307,11 @@ def strict_read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conllu.first_errors(conllu.sentence_lines(table(spark, sf_dir, "conllu_lines")))
 
 
+def line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a strict layout asks of each line file."""
+    return conllu.layout(table(spark, sf_dir, "conllu_lines"))
+
+
 def skipped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range and decimal ids per file."""
     first = F.substring_index("line_text", "\t", 1)
@@ -284,11 +345,13 @@ QUERIES = {
     for f in (
         stub_parse, stub_tokens, label_map, label_pivot, label_sets, histograms, corpus_totals, focus_profile, head_patterns, compound_exceptions, schema_violations,
         segment_violations, latest_rows, gaps, orphans, digests, repeated_requests, mentions, occurrences, annotation_rules, constructions, attachment_scores,
-        differing_words, line_metadata, strict_read_errors, skipped_ids, conllu_rows,
+        differing_words, line_metadata, strict_read_errors, skipped_ids, conllu_rows, recovered_forms, coverage_rules, split_sets, syllables_in_source, line_layout,
     )
 }
-_COMPARED = f"""{_TOK}, c as (select *, case when (sent_no * 7 + id) % 10 = 0 then case when head = id - 1 then id + 1 else id - 1 end else head end as sys_head,
-  case when (sent_no * 7 + id) % 11 = 0 then 'dep' else deprel end as sys_deprel from tok)"""
+_COMPARED = f"""{_TOK}, f as (select sent_no, toks[1].id as top from conllu_sentences), c as (select tok.*, case when id = top then 0 else top end as sys_head, case when id = top then 'root' else 'dep' end as sys_deprel from tok join f using (sent_no))"""
+_OCCURRENCES = f"""{_TOK}, r as (select t.sent_no, t.split, t.id, t.form, s.metadata['text'] as text, row_number() over (partition by t.sent_no, t.form order by t.id) as k from tok t join conllu_sentences s using (sent_no)),
+p as (select *, string_split(text, form) as parts from r where text is not null and form <> ''),
+o as (select *, case when len(parts) > k then (length(array_to_string(parts[1:k], '')) + (k - 1) * length(form)) else -1 end::int as char_start from p)"""
 SQL = {
     "stub_parse": f"""select coalesce(lang, '?') as lang, count(*) as documents, count_if(n > 0)::bigint as roots, sum(greatest(n - 1, 0))::bigint as dependents, max(n)::bigint as longest
 from (select lang, len({_SPLIT % 'text'}) as n from documents) group by 1""",
@@ -318,7 +381,7 @@ x as (
   union all select 'possessive', case when own.head is null then 'without_marker' else 'with_marker' end from j left join own on own.sent_no = j.sent_no and own.head = j.id where deprel = 'nmod:poss'
   union all select 'object_position', case when id < head then 'before_head' else 'after_head' end from j where split_part(deprel, ':', 1) = 'obj' and h_id is not null
 ) select pattern, key, count(*) as n from x group by all""",
-    "compound_exceptions": f"with {_TOK} select sent_no, id as dependent_id, deprel as label from tok where deprel in ('compound:svc', 'compound:dir') and head > id",
+    "compound_exceptions": "select distinct sent_id, idx + 1 as dependent_id, deprel as label from ud_tokens where deprel in ('compound:svc', 'compound:dir') and head > idx + 1",
     "schema_violations": _rules("ud_tokens", {"sent_id": "length(sent_id) >= 1", "idx": "idx >= 0", "form": "length(form) >= 1", "upos": f"upos in {_LIST(UPOS)}", "head": "head >= 0", "deprel": f"deprel in {_LIST(BASE_LABELS)}", "source": f"source in {_LIST(SOURCES)}"}),
     "segment_violations": "with t as (select sent_id, register, source, unnest(tokens, max_depth := 2) from seg_sentences) " + _rules("t", {"sent_id": "length(sent_id) >= 1", "register": f"register in {_LIST(REGISTERS)}", "idx": "idx >= 0", "form": "length(form) >= 1", "upos": f"upos is null or upos in {_LIST(UPOS)}", "source": f"source in {_LIST(SOURCES)}"})
     + " union all " + _rules("seg_sentences", {"tokens": "len(tokens) > 0"}),
@@ -334,13 +397,29 @@ count_if(nfc_normalize(text) <> text)::bigint as not_nfc, sum(greatest(1, floor(
 from documents group by 1 having count(*) > 1""",
     "mentions": """with r as (select distinct sent_id, idx from ud_tokens where upos = 'PROPN'), g as (select *, idx - row_number() over (partition by sent_id order by idx) as run from r),
 m as (select sent_id, min(idx) as s, max(idx) + 1 as e from g group by sent_id, run) select sent_id, sent_id || ':' || s || ':' || e as mention_id, (e - s)::int as n_words from m""",
-    "occurrences": f"""with {_TOK}, r as (select t.sent_no, t.id, t.form, s.metadata['text'] as text, row_number() over (partition by t.sent_no, t.form order by t.id) as k from tok t join conllu_sentences s using (sent_no)),
-p as (select *, string_split(text, form) as parts from r where text is not null and form <> '')
-select sent_no, id, case when len(parts) > k then (length(array_to_string(parts[1:k], '')) + (k - 1) * length(form)) else -1 end::int as char_start from p""",
+    "occurrences": f"with {_OCCURRENCES} select sent_no, id, char_start from o",
+    "recovered_forms": f"with {_OCCURRENCES} select split, count(*) as forms, count_if(char_start >= 0)::bigint as found, count_if(char_start >= 0 and substr(o.text, char_start + 1, length(r.form)) = r.form)::bigint as recovered from r left join o using (sent_no, split, id) group by 1",
+    "coverage_rules": """with t as (select sent_no, split, metadata['synthetic'] as synthetic, metadata['constructions'] as tags from conllu_sentences),
+u as (select split, trim(unnest(string_split(tags, ','))) as tag from t),
+x as (select split, count(*) as sentences, count_if(coalesce(synthetic = 'true', false))::bigint as synthetic, (select count(distinct tag) from u where u.split = t.split and tag <> '') as tags from t group by 1)
+select *, sentences >= 20 and tags >= 10 and synthetic < 0.2 * sentences as enough from x""",
+    "split_sets": """with i as (select distinct split, metadata['sent_id'] as sent_id from conllu_sentences where metadata['sent_id'] is not null), tok as (select split, unnest(toks, max_depth := 2) from conllu_sentences), l as (select distinct split, deprel from tok)
+select a.split, ids, ids_in_train, labels, unknown_labels from (select split, count(*) as ids, count_if(sent_id in (select sent_id from i where split = 'train'))::bigint as ids_in_train from i group by 1) a
+join (select split, count(*) as labels, count_if(coalesce(deprel not in (select label from deprel_labels), true))::bigint as unknown_labels from l group by 1) b using (split)""",
+    "syllables_in_source": """with t as (select corpus, lower(split_part(trim(sent_id), ':', 1)) as hash, unnest(tokens, max_depth := 2) from seg_sentences),
+d as (select content_hash as hash, nfc_normalize(any_value(text)) as text from documents where text is not null group by 1)
+select corpus, count(*) as words, count_if(len(list_filter(syllables, lambda s: not contains(d.text, nfc_normalize(s)))) > 0)::bigint as astray from t join d using (hash) group by 1""",
+    "line_layout": f"""with {_LINES}, k as (select *, starts_with(line_text, '#') as note, regexp_replace(split_part(substr(line_text, 2), '=', 1), '^[{_WS}]+|[{_WS}]+$', '', 'g') as key from kept),
+late as (select file_name, sentence, max(case when note then line_number end) > min(case when not note then line_number end) as late from k group by 1, 2),
+twice as (select distinct file_name, sentence from k where note and contains(line_text, '=') group by file_name, sentence, key having count(*) > 1)
+select file_name, arg_max(blank, line_number) as ends_blank, (select count(*) from late l where l.file_name = m.file_name) as sentences, (select count_if(coalesce(late, false)) from late l where l.file_name = m.file_name)::bigint as late_comments,
+  (select count(*) from twice t where t.file_name = m.file_name) as repeated_keys from m group by 1""",
     "annotation_rules": "with s as (select *, metadata['synthetic'] as syn from conllu_sentences) " + _rules("s", {
         "sent_id": "trim(metadata['sent_id']) <> ''", "register": f"metadata['register'] in {_LIST(REGISTERS)}", "synthetic": "syn in ('true', 'false')", "uncertain": "metadata['uncertain'] in ('true', 'false')",
         "accessed": "regexp_full_match(metadata['accessed'], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(metadata['accessed'] as date) is not null",
-        "source_url": "syn <> 'false' or regexp_matches(metadata['source_url'], '^https?://[^/?#]+')", "text": "metadata['text'] = coalesce(array_to_string(list_filter(list_transform(toks, lambda t: t.form), lambda f: f is not null), ' '), '')"}),
+        "source_url": "syn <> 'false' or regexp_matches(metadata['source_url'], '^https?://[^/?#]+')", "text": "metadata['text'] = coalesce(array_to_string(list_filter(list_transform(toks, lambda t: t.form), lambda f: f is not null), ' '), '')",
+        "nfc": "nfc_normalize(metadata['text']) = metadata['text']", "id_pattern": f"regexp_matches(metadata['sent_id'], '{SENT_ID}')",
+        "repeated_tags": "coalesce((select count(*) = count(distinct x) from (select unnest(list_filter(list_transform(string_split(metadata['constructions'], ','), lambda x: trim(x)), lambda x: x <> '')) as x)), true)"}),
     "constructions": """with t as (select distinct sent_no, metadata['synthetic'] as syn, trim(unnest(string_split(metadata['constructions'], ','))) as tag from conllu_sentences)
 select tag, count(*) as sentences, avg(coalesce(syn = 'true', false)::int) as synthetic_share from t where tag <> '' group by 1""",
     "attachment_scores": f"with {_COMPARED} select split, count(*) as words, avg((head = sys_head)::int) as uas, avg((head = sys_head and deprel = sys_deprel)::int) as las from c group by 1",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.functions import text as tx
+from arbora.functions.vocabulary import BASE_LABELS
 from arbora.operators.hierarchy import resolve
 from arbora.plans import treebank
 from arbora.plans.corpus import _SPLIT
-from arbora.storage import table
+from arbora.sources import conllu
+from arbora.storage import materialize, new_path, table
 
 #: An arc can carry any base label but root.
 ARC_LABELS = 36
@@ -100,28 +104,72 @@ def compound_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(found, ["compound", "n"], "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-def bracket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per register: texts with brackets, and those in which they do not balance (one closes too early or stays open)."""
-    d = table(spark, sf_dir, "documents").select("register", F.regexp_replace("text", r"[^()]", "").alias("b")).filter("b <> ''")
+def _balanced(brackets: str):
+    """Whether none of a text's brackets closes too early or stays open."""
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
 
     def step(s, c):
         depth = s["depth"] + F.when(c == "(", 1).otherwise(-1)
         return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"))
 
-    ok = F.aggregate(F.split("b", ""), start, step, lambda s: (s["depth"] == 0) & (s["least"] == 0))
-    return d.groupBy("register").agg(F.count("*").alias("texts"), F.count_if(~ok).alias("unbalanced"))
+    return F.aggregate(F.split(brackets, ""), start, step, lambda s: (s["depth"] == 0) & (s["least"] == 0))
 
 
-def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per language: documents written as JSON lines and read back, and those that came back the same."""
-    columns = ["doc_id", "text", "source", "url", "http_status", "register"]
-    d = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), F.struct(*columns).alias("record"))
-    back = F.from_json(F.to_json("record"), d.schema["record"].dataType)
-    return d.select("lang", back.eqNullSafe(F.col("record")).alias("same")).groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))
+def bracket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per register: texts with brackets, and those in which they do not balance (one closes too early or stays open)."""
+    d = table(spark, sf_dir, "documents").select("register", F.regexp_replace("text", r"[^()]", "").alias("b")).filter("b <> ''")
+    return d.groupBy("register").agg(F.count("*").alias("texts"), F.count_if(~_balanced("b")).alias("unbalanced"))
+
 
+def bracket_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts whose brackets balance: the words that stand first in a bracket, and the texts that hold them so."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", r"[^()]", "").alias("b")).filter("b <> ''").filter(_balanced("b"))
+    heads = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\(\s*([^\s()]+)"), F.lit(1)))
+    return d.select(F.explode(heads).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("texts"))
 
-QUERIES = {f.__name__: f for f in (fallback_stars, word_groups, legal_actions, syllable_agreement, compound_coverage, compound_occurrences, bracket_balance, json_lines)}
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: documents written to JSON line files (fields in order, letters as they are) and read back, and those that came back the same."""
+    columns = ["doc_id", "http_status", "lang", "register", "source", "text", "url"]
+    documents = table(spark, sf_dir, "documents").select(*columns)
+    path = new_path(spark, "json")
+    documents.write.json(path)
+    back = spark.read.schema(documents.schema).json(path)
+    both = documents.alias("a").join(back.alias("b"), "doc_id", "left")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns[1:]])
+    return both.groupBy(F.coalesce("a.lang", F.lit("?")).alias("lang")).agg(F.count("*").alias("documents"), F.count_if(same).alias("same"))
+
+
+def conllu_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated sentences written to CoNLL-U files and read back line by line."""
+    path = new_path(spark, "conllu")
+    conllu.write_conllu(table(spark, sf_dir, "conllu_sentences"), "sent_no", path)
+    numbered = materialize(conllu.sentence_lines(conllu.read_lines(spark, path)), "lines")
+    named = conllu.metadata(numbered).filter("key = 'sent_no'").select("file_name", "sentence", F.col("value").cast("bigint").alias("sent_no"))
+    rows = conllu.strict_rows(numbered).filter("reason is null")
+    return rows.join(named, ["file_name", "sentence"]).select("sent_no", F.col("place").alias("id"), "line_text")
+
+
+def legal_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action in the order in which a state lists it, with the states of the oracle in which it is legal and in which it was taken."""
+    acts = treebank._actions(spark, sf_dir)
+    before = W.partitionBy("sent_no").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.when(F.col("kind") == "SHIFT", 1).otherwise(0)
+    states = acts.withColumn("shifted", F.coalesce(F.sum(shift).over(before), F.lit(0))).withColumn("n", F.sum(shift).over(W.partitionBy("sent_no")))
+    size = 1 + F.col("shifted") - (F.col("step") - 1 - F.col("shifted"))
+    waiting = F.col("shifted") < F.col("n")
+    # what is legal hangs on three things alone
+    may = {"shift": waiting, "arc": size >= 3, "end": (size == 2) & ~waiting}
+    rules = F.filter(F.array(*[F.when(when, F.lit(rule)) for rule, when in may.items()]), lambda x: x.isNotNull())
+    legal = states.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("legal"))
+    taken = states.groupBy("kind", F.coalesce("label", F.lit("")).alias("named")).agg(F.count("*").alias("taken"))
+    listed = [("SHIFT", None, "shift")] + [("LEFT_ARC", x, "arc") for x in sorted(BASE_LABELS) if x != "root"] + [("RIGHT_ARC", x, "end" if x == "root" else "arc") for x in sorted(BASE_LABELS)]
+    rows = spark.createDataFrame([(k, *row, row[1] or "") for k, row in enumerate(listed, 1)], "place int, kind string, label string, rule string, named string")
+    nothing = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.join(legal, "rule", "left").join(taken, ["kind", "named"], "left").select("place", "kind", "label", nothing("legal"), nothing("taken"))
+
+
+QUERIES = {f.__name__: f for f in (fallback_stars, word_groups, legal_actions, syllable_agreement, compound_coverage, compound_occurrences, bracket_balance, bracket_heads, json_lines, conllu_files, legal_listing)}
 _W = treebank._with
 SQL = {
     "fallback_stars": r"""
@@ -160,5 +208,22 @@ c as (select doc_id, register, unnest(string_split(b, '')) as c, unnest(range(1,
 s as (select doc_id, register, sum(case when c = '(' then 1 else -1 end) over (partition by doc_id order by i) as depth, i from c),
 t as (select doc_id, register, min(depth) >= 0 and arg_max(depth, i) = 0 as ok from s group by 1, 2)
 select register, count(*) as texts, count_if(not ok)::bigint as unbalanced from t group by 1""",
+    "bracket_heads": r"""with d as (select doc_id, text, regexp_replace(text, '[^()]', '', 'g') as b from documents),
+c as (select doc_id, unnest(string_split(b, '')) as c, unnest(range(1, length(b) + 1)) as i from d where b <> ''),
+s as (select doc_id, sum(case when c = '(' then 1 else -1 end) over (partition by doc_id order by i) as depth, i from c),
+t as (select doc_id from s group by 1 having min(depth) >= 0 and arg_max(depth, i) = 0),
+h as (select distinct doc_id, unnest(regexp_extract_all(text, '\(\s*([^\s()]+)', 1)) as predicate from d join t using (doc_id))
+select predicate, count(*) as texts from h group by 1""",
+    "conllu_files": """with tok as (select sent_no, unnest(toks, max_depth := 2) from conllu_sentences)
+select sent_no, id, concat_ws(chr(9), id, coalesce(form, '_'), '_', coalesce(upos, '_'), '_', '_', coalesce(head::varchar, '_'), coalesce(deprel, '_'), '_', '_') as line_text from tok""",
+    "legal_listing": _W(treebank._TOK, treebank._GLUE, treebank._ORACLE) + f""",
+s as (select sent_no, kind, label, row_number() over w as step, coalesce(sum((kind = 'SHIFT')::int) over (w rows between unbounded preceding and 1 preceding), 0) as shifted, sum((kind = 'SHIFT')::int) over (partition by sent_no) as n
+  from acts window w as (partition by sent_no order by spot, rank, -id)),
+z as (select *, 1 + shifted - (step - 1 - shifted) as size from s),
+b as (select unnest({BASE_LABELS}) as label),
+a as (select 'SHIFT' as kind, null as label, 0 as side union all select 'LEFT_ARC', label, 1 from b where label <> 'root' union all select 'RIGHT_ARC', label, 2 from b)
+select (row_number() over (order by side, label))::int as place, kind, label,
+  (select count_if(case when a.kind = 'SHIFT' then shifted < n when a.label = 'root' then size = 2 and shifted = n else size >= 3 end) from z)::bigint as legal,
+  (select count_if(z.kind = a.kind and z.label is not distinct from a.label) from z)::bigint as taken from a""",
     "json_lines": "select coalesce(lang, '?') as lang, count(*) as documents, count(*) as same from documents group by 1",
 }

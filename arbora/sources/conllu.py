@@ -15,11 +15,27 @@ _INTEGER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, line_number, line_text) of text files. Line ends are those of Python's str.splitlines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("text"))
-    body = F.regexp_replace("text", r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])\z", "")
-    lines = whole.select("file_name", F.posexplode(F.split(body, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")).alias("p", "line_text"))
-    return lines.select("file_name", (F.col("p") + 1).alias("line_number"), "line_text")
+    """(file_name, line_number, line_text) of text files, each read in as many tasks as it has splits.
+
+    Line ends are those of Python's str.splitlines. Lines are numbered within their split; the
+    lines of the splits before come from a table with one row per split. (A rare line end as the
+    very last character of a file gives an empty line after it.)
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"),
+        F.posexplode(F.split("value", r"[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")).alias("part", "line_text"),
+    )
+    sizes = rows.groupBy("file_name", "start").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file_name").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("file_name", "start", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("file_name", "start").orderBy("row", "part"))
+    numbered = rows.withColumn("within", within).join(offsets, ["file_name", "start"])
+    return numbered.select("file_name", (F.col("before") + F.col("within")).cast("int").alias("line_number"), "line_text")
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of word lists, in which blank lines and lines with ``#`` in front are none."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> '' and not startswith(word, '#')")
 
 
 def sentence_lines(lines: DataFrame) -> DataFrame:
@@ -56,6 +72,19 @@ def metadata(numbered: DataFrame) -> DataFrame:
     return pairs.join(held, ["file_name", "sentence"], "left_semi").groupBy("file_name", "sentence", "key").agg(F.max_by("value", "line_number").alias("value"))
 
 
+def layout(lines: DataFrame) -> DataFrame:
+    """(file_name, sentences, late_comments, repeated_keys, ends_blank) of what a strict layout asks: sentences with a comment after a token, sentences that give a key twice, and whether the last line is blank."""
+    numbered = sentence_lines(lines)
+    note = F.col("line_text").startswith("#")
+    order = numbered.groupBy("file_name", "sentence").agg(F.max(F.when(note, F.col("line_number"))).alias("note"), F.min(F.when(~note, F.col("line_number"))).alias("token"))
+    late = order.groupBy("file_name").agg(F.count("*").alias("sentences"), F.count_if(F.col("note") > F.col("token")).alias("late_comments"))
+    keys = numbered.filter(note & F.contains("line_text", F.lit("="))).select("file_name", "sentence", F.regexp_replace(F.substring_index(F.substring("line_text", 2, 2**30), "=", 1), f"^{SPACE}|{SPACE}$", "").alias("key"))
+    twice = keys.groupBy("file_name", "sentence", "key").count().filter("count > 1").groupBy("file_name").agg(F.count_distinct("sentence").alias("repeated_keys"))
+    blank = F.coalesce("line_text", F.lit("")).rlike(f"^({SPACE})?$")
+    ends = lines.filter("file_name is not null and line_number is not null").groupBy("file_name").agg(F.max_by(blank, "line_number").alias("ends_blank"))
+    return ends.join(late, "file_name", "left").join(twice, "file_name", "left").fillna(0, ["sentences", "late_comments", "repeated_keys"])
+
+
 def strict_rows(numbered: DataFrame) -> DataFrame:
     """(file_name, sentence, line_number, c, reason): token rows with what a strict reader stops at.
 
@@ -95,6 +124,7 @@ def format_tokens(trees: DataFrame, key: str) -> DataFrame:
 
 
 def write_conllu(trees: DataFrame, key: str, path: str) -> None:
-    """Text files with each tree as its rows and a blank line; a tree is one record, so it never spans two files."""
+    """Text files with each tree as a comment ``# key = value``, its rows and a blank line; a tree is one record, so it never spans two files."""
     lines = format_tokens(trees, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("l"))
-    lines.select(F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value")).write.text(path)
+    head = F.concat(F.lit(f"# {key} = "), F.col(key).cast("string"), F.lit("\n"))
+    lines.select(F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value")).write.text(path)
