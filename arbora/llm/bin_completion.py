@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from dataclasses import dataclass
+from math import inf
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,13 +17,22 @@ from arbora.storage import materialize
 CAPACITY = 2048
 #: Texts that one task packs together; at most one container of a block is left with room to spare for want of texts.
 BLOCK_TEXTS = 20_000
-#: Bounds of the search, not of the result: partial fillings looked at per container, fillings kept per
-#: container, and steps back per block. When they are used up the best packing so far holds.
-FILLING_STEPS, FILLINGS_KEPT, STEPS_BACK = 96, 4, 5_000
-
 Filling = tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Bounds of the search, not of the result: partial fillings looked at per container, fillings kept per container,
+    and steps back per block. When they are used up the best packing so far holds. ``None`` is no bound: ``EXACT`` searches to the end."""
+
+    filling_steps: int | None = 96
+    fillings_kept: int | None = 4
+    steps_back: int | None = 5_000
+
+
+BOUNDS, EXACT = Bounds(), Bounds(None, None, None)
+
+
 class _Stock:
     """How many items of each size are left; the set of sizes is one integer, so the largest that fits is found by its bits."""
 
@@ -51,20 +62,24 @@ def largest_in(sizes: int, most: int) -> int:
 
 
 def dominates(a: Filling, b: Filling) -> bool:
-    """Whether the items of b can be put into the places of a, one or more in each: then b need not be tried."""
-    room = sorted(a, reverse=True)
-    for s in sorted(b, reverse=True):
-        place = next((k for k, r in enumerate(room) if r >= s), None)
-        if place is None:
+    """Whether the items of b can be put into the places of a, one or more in each: then b need not be tried. Both largest first."""
+    if len(a) == 1:
+        return bool(a) and sum(b) <= a[0]
+    room = list(a)
+    for s in b:
+        for k, r in enumerate(room):
+            if r >= s:
+                room[k] -= s
+                break
+        else:
             return False
-        room[place] -= s
     return True
 
 
-def fillings(stock: _Stock, room: int, allowed: int) -> list[Filling]:
+def fillings(stock: _Stock, room: int, allowed: int, bounds: Bounds = BOUNDS) -> list[Filling]:
     """Undominated ways to fill the room beside the largest item, best first, that waste no more than allowed."""
     found: list[tuple[int, int, Filling]] = []
-    steps = FILLING_STEPS
+    steps = inf if bounds.filling_steps is None else bounds.filling_steps
 
     def extend(room: int, most: int, chosen: Filling) -> None:
         nonlocal steps
@@ -73,16 +88,21 @@ def fillings(stock: _Stock, room: int, allowed: int) -> list[Filling]:
             if room <= allowed:
                 found.append((room, len(chosen), chosen))
             return
+        full = True
         while s and steps > 0:
             if stock.count[s] > chosen.count(s):
-                steps -= 1
+                steps, full = steps - 1, False
                 extend(room - s, s, (*chosen, s))
             s = largest_in(stock.sizes, s - 1)
+        if full and not s and room <= allowed:  # all items that would fit are in it
+            found.append((room, len(chosen), chosen))
 
     extend(room, room, ())
     kept: list[Filling] = []
     for _, _, filling in sorted(found):
-        if len(kept) < FILLINGS_KEPT and not any(dominates(k, filling) for k in kept):
+        if len(kept) >= (inf if bounds.fillings_kept is None else bounds.fillings_kept):
+            break
+        if filling not in kept and not any(dominates(k, filling) for k in kept):
             kept.append(filling)
     return kept
 
@@ -106,27 +126,35 @@ def best_fit(sizes: list[int], capacity: int) -> list[Filling]:
     return [tuple(b) for b in bins]
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY) -> list[Filling]:
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    return -(-sum(sizes) // capacity)
+
+
+def pack(sizes: list[int], capacity: int = CAPACITY, bounds: Bounds = BOUNDS) -> list[Filling]:
     """Containers for items of 1 to ``capacity``.
 
     The largest item left opens a container, which is completed by undominated fillings, best
     first. A branch ends when its waste shows that it cannot need fewer containers than the
-    incumbent, and the search ends at the lower bound or when its steps back are used up.
+    incumbent, and the search ends at the lower bound or when its steps back are used up. The
+    first incumbent is the best fit; where that reaches the bound, it is proved optimal at the root.
     """
     best = best_fit(sizes, capacity)
-    total = sum(sizes)
-    least = -(-total // capacity)
+    total, least = sum(sizes), lower_bound(sizes, capacity)
     stock, bins, waste, back = _Stock(sizes), [], 0, 0
     open_ways: list[list[Filling]] = []
-    while len(best) > least and back <= STEPS_BACK:
-        if stock.total == 0 and len(bins) < len(best):
-            best = list(bins)
-            continue
-        allowed = (len(best) - 1) * capacity - total - waste
+    goal = len(best) - 1
+    while goal >= least:
+        if bounds.steps_back is not None and back > bounds.steps_back:
+            break
+        if stock.total == 0:
+            best, goal = list(bins), len(bins) - 1
+            if goal < least:
+                break
+        allowed = goal * capacity - total - waste
         if stock.total and allowed >= 0:
             first = largest_in(stock.sizes, capacity)
             stock.take((first,))
-            ways = [(first, *f) for f in fillings(stock, capacity - first, allowed)]
+            ways = [(first, *f) for f in fillings(stock, capacity - first, allowed, bounds)]
             stock.put_back((first,))
         else:
             ways = []
@@ -147,7 +175,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[Filling]:
     return best
 
 
-def _pack_block(texts: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _pack_block(texts: pd.DataFrame, capacity: int, bounds: Bounds) -> pd.DataFrame:
     block = int(texts["block"].iloc[0])
     rows: list[tuple] = []  # container, doc_id, start, n_tokens
     waiting: dict[int, list[tuple]] = defaultdict(list)
@@ -158,7 +186,7 @@ def _pack_block(texts: pd.DataFrame, capacity: int) -> pd.DataFrame:
             rows.append((container, doc_id, start, capacity))
             container, start = container + 1, start + capacity
         waiting[n - start].append((doc_id, start))
-    for filling in pack([s for s, items in waiting.items() for _ in items], capacity):
+    for filling in pack([s for s, items in waiting.items() for _ in items], capacity, bounds):
         rows.extend((container, *waiting[s].pop(), s) for s in filling)
         container += 1
     out = pd.DataFrame(rows, columns=["container", "doc_id", "start", "n_tokens"])
@@ -167,7 +195,7 @@ def _pack_block(texts: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
-def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, bounds: Bounds = BOUNDS) -> DataFrame:
     """(container_id, doc_id, start, n_tokens): the tokens start .. start + n_tokens of each text lie in that container.
 
     Only a text beyond the capacity is divided: into full containers and a rest that is packed
@@ -178,8 +206,8 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     sizes = materialize(count_tokens(documents, vocabulary).filter("n_tokens > 0"), "sizes")
     blocks = max(1, -(-sizes.count() // BLOCK_TEXTS))
     dealt = sizes.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    return dealt.repartition(blocks, "block").groupBy("block").applyInPandas(
-        lambda texts: _pack_block(texts, capacity), "container_id bigint, doc_id bigint, start int, n_tokens int"
+    return dealt.repartitionByRange(blocks, "block").groupBy("block").applyInPandas(
+        lambda texts: _pack_block(texts, capacity, bounds), "container_id bigint, doc_id bigint, start int, n_tokens int"
     )
 
 
@@ -188,3 +216,11 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.groupBy("container_id").agg(
         F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), (F.lit(capacity) - F.sum("n_tokens")).alias("unused")
     )
+
+
+def blocks_filled(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(block, texts, tokens, containers, least): containers used by each block, and the fewest that its tokens could fill."""
+    sums = packed.groupBy(F.shiftright("container_id", 32).alias("block")).agg(
+        F.count_if(F.col("start") == 0).alias("texts"), F.sum("n_tokens").alias("tokens"), F.count_distinct("container_id").alias("containers")
+    )
+    return sums.withColumn("least", F.ceil(F.col("tokens") / capacity))

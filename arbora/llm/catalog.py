@@ -95,9 +95,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.fill(p8_containers(spark, sf_dir))
 
 
+def p8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each block beside the fewest possible."""
+    return bin_completion.blocks_filled(p8_containers(spark, sf_dir))
+
+
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    models = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    models = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "sources"))
     return subjects.classify(documents, models, subjects.stock_endings(documents))
 
 
@@ -116,6 +121,12 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address words and sections beside the areas that readers gave: what weak labels rest on."""
+    keys = subjects.section_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "sources"))
+    return subjects.weak_rules(keys, table(spark, sf_dir, "subject_labels"))
+
+
 P1_TERMS_SQL = """
 with tok as (select distinct sent_id, idx, deprel, upos, form from ud_tokens),
 terms as (
@@ -163,8 +174,9 @@ _NEAR = "i = len(x) and row[len(y) + 1] * 20 <= 3 * greatest(len(x), len(y))"
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_report": p5_report,
-    "p6_found": p6_found, "p6_cells": p6_cells, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p6_found": p6_found, "p6_cells": p6_cells, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_blocks": p8_blocks,
     "p9_found": p9_found, "p9_composition": p9_composition,
+    "p9_weak_rules": p9_weak_rules,
 }
 SQL = {
     "p1_found": f"select field_name, term, mark from ({P1_TERMS_SQL}) where mark is not null",
@@ -182,5 +194,13 @@ cover as (select sent_no, any_value(n) as forms, coalesce(sum(len(p)) filter (wh
 select s.split, lower(trim(coalesce(s.metadata['source_name'], ''))) as source_name, count(*) as sentences, count(least) as overlapping, count_if(coalesce(least = 0, false))::bigint as exact, coalesce(sum(pairs), 0)::bigint as pairs,
   coalesce(sum(forms), 0)::bigint as forms, coalesce(sum(covered), 0)::bigint as covered_forms, count_if(coalesce(covered = forms, false))::bigint as covered_whole
 from conllu_sentences s left join hit using (sent_no) left join cover using (sent_no) where s.split in ('dev', 'test') group by 1, 2""",
+    "p9_weak_rules": r"""with keys as (
+  select doc_id, 'source' as field, source as value from documents union all select doc_id, 'register', register from documents
+  union all select doc_id, 'kind', kind from documents join sources on source_id = source
+  union all select distinct doc_id, 'path', unnest(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1)), '[\pL\pM]+')) from documents),
+k as (select * from keys where value is not null), l as (select distinct doc_id, subject_id from subject_labels),
+seen as (select field, value, count(*) as seen from k where doc_id in (select doc_id from l) group by 1, 2),
+given as (select field, value, subject_id, count(*) as given from k join l using (doc_id) where subject_id is not null group by 1, 2, 3)
+select field, value, subject_id, seen, given from given join seen using (field, value)""",
     "p7_decoded": "select doc_id, true as same, length(coalesce(text, ''))::int as n_chars, length(coalesce(text, '')) > 0 as has_tokens from documents",
 }

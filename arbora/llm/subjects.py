@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.skew import balanced_lookup
 from arbora.storage import materialize
 
 #: Labelled documents that the classifiers are fitted on at most: of each language those with the smallest
@@ -25,10 +24,15 @@ BITS = 17
 SLOTS = 1 << BITS
 #: A document is about an area if at least this share of its sentences deals with it.
 LEAST_SHARE = 0.25
-#: An ending is a stock phrase from this share of the distinct texts (and this many) on: at most 1/STOCK_SHARE phrases.
-STOCK_SHARE, STOCK_TEXTS = 0.001, 8
-#: Weak labels of the address path are believed only if readers confirm at least this share of them.
-TRUST_PATHS = 0.5
+#: An ending is a stock phrase from this share of the distinct texts on (and in more than one): at most 1/STOCK_SHARE phrases, whatever the size.
+STOCK_SHARE = 0.001
+#: Longer endings are no phrases; so what is collected has a fixed bound.
+STOCK_CHARS = 500
+#: A word of the address path or a section (source, its kind, register) is a weak label of an area if readers saw at least
+#: WEAK_SEEN documents with it and gave the area to this share of them.
+WEAK_TRUST, WEAK_SEEN = 0.5, 20
+#: Documents without readers that are fitted with their weak labels at most; those with the smallest hash of doc_id.
+MAX_WEAK = 1_600
 ROUNDS, STEPS, L2 = 3, 35, 10.0
 BATCH_ROWS = 512
 
@@ -177,14 +181,14 @@ def dealing(s: Sentences, margin: np.ndarray, n: int) -> np.ndarray:
     return count(best & over)
 
 
-def train_area(texts: list[str], paths: list[str], fold: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and the sentence threshold for one area.
+def train_area(texts: list[str], fold: np.ndarray, labelled: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and the sentence threshold for one area; the labels of documents that were not ``read`` are weak ones.
 
     Readers label documents, so which sentences deal with the area is found in rounds: each
     half is scored by a classifier of the other half, sentences of labelled documents that
     look like those of others are taken for general ones, and unlabelled documents with much
     of the area are left out as probably incomplete. The threshold is the one under which
-    ``LEAST_SHARE`` agrees best with the readers, on scores of the other half.
+    ``LEAST_SHARE`` agrees best with the readers, on scores of the other half; weak labels have no say in it.
     """
     s = featurize(texts)
     n = len(texts)
@@ -209,37 +213,62 @@ def train_area(texts: list[str], paths: list[str], fold: np.ndarray, labelled: n
     weights[often], bias = whole.fit(y, trust)
     grid = np.linspace(-4, 1, 51)
     about = [shares(s, z > t, n) >= LEAST_SHARE for t in grid]
-    quality = np.array([2 * (a & labelled).sum() / max(1, a.sum() + labelled.sum()) for a in about])
+    quality = np.array([2 * (a & labelled & read).sum() / max(1, (a & read).sum() + (labelled & read).sum()) for a in about])
     # the middle of the thresholds that do about equally well
     threshold = float(np.median(grid[quality >= quality.max() - 0.004]))
-    weak = featurize(paths)
-    said = np.zeros(n, bool)
-    said[weak.document[score(weak, weights, bias) > threshold]] = True
-    if said.any() and labelled[said].mean() >= TRUST_PATHS:
-        trust[(said & ~labelled)[s.document]] = 0
-        weights[often], bias = whole.fit(y, trust)
     return weights, bias, threshold
 
 
 _MODEL = "subject_id int, bias double, threshold double, weights array<float>"
 
 
-def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+def section_keys(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, field, value): the words of each document's address path and its section metadata, from which weak labels are drawn.
+
+    Path words are lower-cased runs of letters; null addresses, sources and registers give no key.
+    """
+    path = F.lower(F.coalesce(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(path, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
+    key = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    kinds = sources.select(F.col("source_id").alias("source"), "kind").dropDuplicates(["source"])
+    rows = documents.select("doc_id", "source", "register", words.alias("words")).join(kinds, "source", "left")
+    own = F.array(key("source", F.col("source")), key("kind", F.col("kind")), key("register", F.col("register")))
+    return rows.select("doc_id", F.explode(F.concat(own, F.transform("words", lambda w: key("path", w)))).alias("k")).select("doc_id", "k.*").filter("value is not null and doc_id is not null")
+
+
+def weak_rules(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(field, value, subject_id, seen, given): of the documents with that key that readers saw, how many got the area from one of them."""
+    read = labels.filter("doc_id is not null").select("doc_id", "subject_id").distinct()
+    known = keys.join(read.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    seen = known.groupBy("field", "value").agg(F.count("*").alias("seen"))
+    given = known.join(read.filter("subject_id is not null"), "doc_id").groupBy("field", "value", "subject_id").agg(F.count("*").alias("given"))
+    return given.join(seen, ["field", "value"]).select("field", "value", "subject_id", "seen", "given")
+
+
+def weak_labels(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, subject_id) of every document with a key that readers confirm often enough."""
+    trusted = rules.filter((F.col("seen") >= WEAK_SEEN) & (F.col("given") >= WEAK_TRUST * F.col("seen")))
+    return keys.join(trusted, ["field", "value"]).select("doc_id", "subject_id").distinct()
+
+
+def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, sources: DataFrame) -> DataFrame:
     """One model per area, each fitted in its own task on the same bounded sample of labelled documents.
 
-    The sample is MAX_LABELLED documents at most; a label of any reader counts, a null one says
-    that the reader saw none. Null texts have no sentences. Areas without labels get a model
-    that never says yes.
+    The sample is MAX_LABELLED documents that readers saw and MAX_WEAK others with weak labels at
+    most; a label of any reader counts, a null one says that the reader saw none. Null texts
+    have no sentences. Areas without labels get a model that never says yes.
     """
     read = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("said"))
     known = read.join(documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     known = materialize(known, "labelled")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sqrt(F.count("*")).alias("root"))
+    sizes = known.groupBy("lang").agg(F.sqrt(F.count("*")).alias("root"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("root")  # about the rank by hash over the root of the language's size
-    drawn = balanced_lookup(known, sizes, ["lang"], "n", known.count()).orderBy(place, "doc_id").limit(MAX_LABELLED)
-    chosen = materialize(drawn.select("doc_id", "said"), "chosen")
-    path = F.regexp_replace(F.coalesce(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.lit("")), "[-/_]+", " ")
-    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    drawn = known.join(sizes, "lang").orderBy(place, "doc_id").limit(MAX_LABELLED).select("doc_id", "said", F.lit(True).alias("read"))
+    keys = section_keys(documents, sources)
+    weak = weak_labels(keys, weak_rules(keys, labels)).join(read, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("subject_id").alias("said"))
+    weak = weak.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_WEAK).withColumn("read", F.lit(False))
+    chosen = materialize(drawn.unionByName(weak), "chosen")
+    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # MAX_LABELLED + MAX_WEAK rows at most
     ids = [r[0] for r in areas.select("subject_id").filter("subject_id is not null").distinct().orderBy("subject_id").collect()]  # a closed list of fixed size
 
     def one(sample: pd.DataFrame) -> pd.DataFrame:
@@ -247,7 +276,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFram
         sample = sample.sort_values("doc_id")
         fold = np.array([zlib.crc32(str(d).encode()) & 1 for d in sample["doc_id"]])
         labelled = np.array([area in list(said) for said in sample["said"]])
-        weights, bias, threshold = train_area(sample["text"].tolist(), sample["path"].tolist(), fold, labelled)
+        weights, bias, threshold = train_area(sample["text"].tolist(), fold, labelled, sample["read"].to_numpy(bool))
         return pd.DataFrame({"subject_id": [area], "bias": [bias], "threshold": [threshold], "weights": [weights.astype(np.float32)]})
 
     each = materialize(sample, "sample").withColumn("subject_id", F.explode(F.array(*[F.lit(k) for k in ids])))
@@ -255,13 +284,13 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFram
 
 
 def stock_endings(documents: DataFrame) -> set[str]:
-    """Last sentences that many different texts share; at most 1/STOCK_SHARE of them by the bound on their share."""
+    """Last sentences that many different texts share; at most 1/STOCK_SHARE of them by the bound on their share, each of STOCK_CHARS at most."""
     line = F.substring_index(F.rtrim(F.col("text"), F.lit(" \t\r\n")), "\n", -1)
     last = F.lower(F.trim(F.try_element_at(F.filter(F.split(line, END), lambda x: F.trim(x) != ""), F.lit(-1))))
     ends = documents.filter("text is not null").select(F.xxhash64("text").alias("h"), last.alias("ending")).filter("ending is not null").distinct()
     counts = materialize(ends.groupBy("ending").agg(F.count("*").alias("n")), "endings")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r[0] for r in counts.filter(F.col("n") >= max(STOCK_TEXTS, STOCK_SHARE * total)).select("ending").collect()}
+    return {r[0] for r in counts.filter((F.col("n") >= max(2, STOCK_SHARE * total)) & (F.length("ending") <= STOCK_CHARS)).select("ending").collect()}
 
 
 def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> DataFrame:

@@ -33,6 +33,33 @@ def test_better_than_best_fit():
     assert len(packed) < len(bc.best_fit(sizes, 2048))
 
 
+def test_exact_search():
+    """Without bounds the search ends only at the optimum, where the bounded one and best fit need not reach it."""
+    draw = random.Random(2)
+    gains = 0
+    for _ in range(40):
+        sizes = [draw.randint(15, 48) for _ in range(11)]
+        packed = bc.pack(sizes, 100, bc.EXACT)
+        assert sorted(s for b in packed for s in b) == sorted(sizes) and max(map(sum, packed)) <= 100
+        fewest = _fewest_by_sets(sizes, 100)
+        assert len(packed) == fewest <= len(bc.pack(sizes, 100)) <= len(bc.best_fit(sizes, 100))
+        gains += len(bc.best_fit(sizes, 100)) > fewest
+    assert gains
+
+
+def _fewest_by_sets(sizes, capacity):
+    """Fewest containers of every subset: (containers, least room used in the last one)."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(sizes)):
+        options = []
+        for k, s in enumerate(sizes):
+            if mask >> k & 1:
+                n, used = best[mask ^ 1 << k]
+                options.append((n, used + s) if used + s <= capacity else (n + 1, s))
+        best[mask] = min(options)
+    return best[(1 << len(sizes)) - 1][0]
+
+
 def test_dominance():
     assert bc.dominates((5, 3), (4, 3)) and bc.dominates((7,), (4, 3)) and not bc.dominates((4, 3), (7,)) and bc.dominates((3,), ())
     assert bc.pack([], 10) == []

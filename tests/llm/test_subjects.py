@@ -27,15 +27,36 @@ def _texts(n, seed):
     return rows
 
 
+def _sources(spark):
+    return spark.createDataFrame([("s", "news"), ("s", "news"), (None, None)], "source_id string, kind string")
+
+
+def test_weak_labels_of_paths_and_sections(spark):
+    """Two hundred read documents whose addresses and registers tell the area; the others are fitted by their weak labels."""
+    rows = _texts(700, 5)
+    told = lambda truth, k: f"https://x.example/{'/'.join(sorted({1: 'kinh-te', 2: 'the-thao'}[a] for a in truth)) or 'khac'}/{k}"
+    df = spark.createDataFrame([(k, t, told(truth, k), "vi", "s", "sport" if truth == {2} else None) for k, t, _, truth in rows], "doc_id long, text string, url string, lang string, source string, register string")
+    labels = spark.createDataFrame([(k, a) for k, _, _, truth in rows[:200] for a in truth or {None}], "doc_id long, subject_id int")
+    keys = sj.section_keys(df, _sources(spark))
+    rules = sj.weak_rules(keys, labels)
+    given = {(r.doc_id, r.subject_id) for r in sj.weak_labels(keys, rules).collect()}
+    assert given == {(k, a) for k, _, _, truth in rows for a in truth}
+    assert {(r.field, r.value) for r in rules.collect()} >= {("path", "kinh"), ("path", "te"), ("register", "sport"), ("kind", "news"), ("source", "s")}
+    models = sj.train(df, labels, spark.createDataFrame([(1,), (2,)], "subject_id int"), _sources(spark))
+    got = {(r.doc_id, r.subject_id) for r in sj.classify(df, models, sj.stock_endings(df)).collect()}
+    want = {(k, a) for k, _, _, truth in rows for a in truth}
+    assert 2 * len(want & got) / (len(want) + len(got)) > 0.97
+
+
 def test_held_out_accuracy(spark):
     rows = _texts(500, 1)
-    df = spark.createDataFrame([(k, t, u, "c") for k, t, u, _ in rows] + [(900, None, None, "c"), (901, "", "", "c"), (902, " \n", "", "c"), (903, "từ " * 60_000, "", "c"), (None, "", "", "c")], "doc_id long, text string, url string, share string").withColumn("lang", F.lit("vi"))
+    df = spark.createDataFrame([(k, t, u, "c") for k, t, u, _ in rows] + [(900, None, None, "c"), (901, "", "", "c"), (902, " \n", "", "c"), (903, "từ " * 60_000, "", "c"), (None, "", "", "c")], "doc_id long, text string, url string, share string").withColumn("lang", F.lit("vi")).withColumn("source", F.lit("s")).withColumn("register", F.lit(None).cast("string"))
     draw = random.Random(2)
     labels = [(k, a if draw.random() > 0.05 else 3 - a) for k, _, _, truth in rows[:250] for a in truth or {None} if a] + [(k, None) for k, _, _, truth in rows[:250] if not truth]
     areas = spark.createDataFrame([(1, "a"), (2, "b")], "subject_id int, subject_name string")
     endings = sj.stock_endings(df)
     assert endings == {STOCK.lower()}
-    models = sj.train(df, spark.createDataFrame(labels, "doc_id long, subject_id int"), areas)
+    models = sj.train(df, spark.createDataFrame(labels, "doc_id long, subject_id int"), areas, _sources(spark))
     got = {(r.doc_id, r.subject_id) for r in sj.classify(df, models, endings).collect()}
     want = {(k, a) for k, _, _, truth in rows[250:] for a in truth}
     held = {(k, a) for k, a in got if k is not None and 250 <= k < 500}
@@ -44,10 +65,10 @@ def test_held_out_accuracy(spark):
 
 
 def test_without_labels_or_texts(spark):
-    df = spark.createDataFrame([(1, "a b c.", "u")], "doc_id long, text string, url string").withColumn("lang", F.lit(None).cast("string"))
+    df = spark.createDataFrame([(1, "a b c.", "u")], "doc_id long, text string, url string").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.col("lang")).withColumn("register", F.col("lang"))
     areas = spark.createDataFrame([(1, "a")], "subject_id int, subject_name string")
     none = spark.createDataFrame([], "doc_id long, subject_id int")
-    models = sj.train(df, none, areas)
+    models = sj.train(df, none, areas, _sources(spark))
     assert sj.classify(df, models, set()).count() == 0
     assert sj.classify(df.limit(0), models, set()).count() == 0 and sj.stock_endings(df.limit(0)) == set()
 
