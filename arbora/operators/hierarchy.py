@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from arbora.storage import materialize
 
 #: Ids of one tree that meet in one row. A tree with more is spread over several, so none has to fit into one task.
-BLOCK_NODES = 4096
+BLOCK_NODES = 65_536
 #: Elements of paths in one output batch.
 BATCH_PATH = 1 << 20
 
@@ -160,7 +160,8 @@ def resolve(rows: DataFrame, tree: str, node: str, parent: Column, payload: Colu
     children, level by level, parts ``below`` from ``on``.
 
     A tree that spans several blocks goes on with the nodes whose parent lies in another block:
-    they are joined to what their parent found, and again level by level until a frontier is empty.
+    they are joined to what their parent found, and again level by level until a frontier is empty, so the
+    number of joins is that of the blocks that a way crosses.
 
     Repeated rows count once (of rows that differ the smallest (parent, payload) is kept). Rows
     with a null tree or node cannot be placed and are left out. Without ``payload`` paths are

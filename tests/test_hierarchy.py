@@ -29,7 +29,7 @@ def _brute(rows):
     return reached, endless
 
 
-@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("block", [65_536, 7])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(hierarchy, "BLOCK_NODES", block)
     if block < 100:

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from arbora.functions import text as tx
 from arbora.functions.vocabulary import LABEL_BASE, SUBTYPES
-from arbora.operators.skew import balanced_lookup
 from arbora.sources import conllu
 
 
@@ -32,7 +31,8 @@ def test_lines_round_trip(spark, tmp_path):
     conllu.write_conllu(trees, "sent_no", str(tmp_path / "out"))
     numbered = conllu.sentence_lines(conllu.read_lines(spark, str(tmp_path / "out")))
     got = numbered.groupBy("file_name", "sentence").agg(F.sort_array(F.collect_list(F.struct("line_number", "line_text"))).alias("l")).collect()
-    assert sorted([r.line_text.split("\t")[1] for r in g.l] for g in got) == [["a b", "."], ["c"]]
+    assert sorted([r.line_text.split("\t")[1] for r in g.l[1:]] for g in got) == [["a b", "."], ["c"]]
+    assert sorted(g.l[0].line_text for g in got) == ["# sent_no = 1", "# sent_no = 2"]
     assert conllu.strict_rows(numbered).filter("reason is not null").count() == 0
 
 
@@ -44,10 +44,40 @@ def test_line_ends_and_metadata(spark, tmp_path):
     assert [(r.key, r.value) for r in found] == [("sent_id", "2 = 3")]
 
 
-def test_lookup_with_heavy_keys(spark):
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key")).union(spark.sql("select -1L, cast(null as string)"))
-    entries = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    inner = balanced_lookup(rows, entries, ["key"], "n", 3001)
-    assert inner.count() == 3000 and inner.filter("key = 'hot' and least <> 0").count() == 0
-    assert balanced_lookup(rows, entries.filter("key <> 'hot'"), ["key"], "n", 3001, "left").filter("least is null").count() == 1001
-    assert balanced_lookup(rows.limit(0), entries, ["key"], "n", 0).count() == 0
+def test_many_splits_of_a_file(spark, tmp_path):
+    """A file read in many splits is numbered as one, whatever ends its lines."""
+    text = "".join(f"{k}\tx{'y' * (k % 50)}" + ["\n", "\r\n", "\x0b", "\u2028", "\n\n"][k % 5] for k in range(4000)) + "end\n"
+    (tmp_path / "a.conllu").write_bytes(text.encode())
+    (tmp_path / "b.conllu").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = conllu.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line_text for r in sorted(rows, key=lambda r: r.line_number)] == text.splitlines()
+    assert sorted(r.line_number for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_word_list(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("# note\n\nbàn ghế\n  \n nhà \n", encoding="utf-8")
+    assert [r.word for r in conllu.read_words(spark, str(tmp_path / "w.txt")).collect()] == ["bàn ghế", "nhà"]
+
+
+def test_layout(spark):
+    lines = [("a", 1, "# k = 1"), ("a", 2, "# k = 2"), ("a", 3, "1\tx"), ("a", 4, "# late"), ("a", 5, ""), ("b", 1, "# k = 1"), ("b", 2, "1\tx"), (None, 1, "x")]
+    got = conllu.layout(spark.createDataFrame(lines, "file_name string, line_number int, line_text string")).collect()
+    assert {(r.file_name, r.sentences, r.late_comments, r.repeated_keys, r.ends_blank) for r in got} == {("a", 1, 1, 1, True), ("b", 1, 0, 0, False)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    import types
+
+    import pytest
+
+    from arbora.storage import shared_dir
+
+    conf = types.SimpleNamespace(get=lambda *_: None)
+    cluster = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
