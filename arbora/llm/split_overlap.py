@@ -209,12 +209,12 @@ def overlaps(sentences: DataFrame) -> Overlap:
     held_out = texts.filter("not is_train").select(F.col("id").alias("eval_id"), "text", "n")
     seen = materialize(train.select(F.explode(F.array_distinct(F.split("text", SEP))).alias("form")).groupBy("form").agg(F.count("*").alias("texts")), "seen")
 
-    passages = materialize(_cut(held_out, PASSAGE_FORMS), "cut")
+    passages = _cut(held_out, PASSAGE_FORMS)
     hits = passage_hits(passages, train, seen)
-    counts = materialize(hits.groupBy("piece").agg(F.count("*").alias("texts")), "counts")
+    counts = hits.groupBy("piece").agg(F.count("*").alias("texts"))
     kept = materialize(_rarest(passages, counts), "rarest")
     cost = kept.groupBy("eval_id").agg(F.sum("texts").alias("cost"))
-    many = materialize(cost.filter(F.col("cost") > PLENTY), "many")
+    many = cost.filter(F.col("cost") > PLENTY)
     met = _meetings(kept, hits)
     if not many.isEmpty():
         single = _rarest(_cut(held_out.join(many, "eval_id", "left_semi"), 1), seen.withColumnRenamed("form", "piece"))
@@ -224,7 +224,7 @@ def overlaps(sentences: DataFrame) -> Overlap:
         met = _meetings(kept.join(single.select("eval_id").distinct(), "eval_id", "left_anti"), hits).unionByName(finer)
     both = met.join(held_out.select("eval_id", F.col("text").alias("eval_text"), "n"), "eval_id").join(train.withColumnRenamed("text", "train_text").withColumn("m", F.size(F.split("train_text", SEP))), "train_id")
     both = both.filter(F.abs(F.col("n") - F.col("m")) * 20 <= 3 * F.greatest("n", "m"))
-    near = materialize(both.select("eval_id", "train_id", "eval_text", "train_text").mapInPandas(_judged, "eval_id bigint, train_id bigint, distance int"), "near")
+    near = both.select("eval_id", "train_id", "eval_text", "train_text").mapInPandas(_judged, "eval_id bigint, train_id bigint, distance int")
 
     sentences_of = lists.select("text", "sent_no", "split")
     train_of = sentences_of.filter(is_train).join(train, "text").select("train_id", F.col("sent_no").alias("train_no"))
