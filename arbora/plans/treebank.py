@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.text import label_base
-from arbora.functions.vocabulary import LABEL_BASE
+from arbora.functions.vocabulary import BASE_LABELS, LABEL_BASE
 from arbora.operators import trees
 from arbora.operators.hierarchy import resolve
 from arbora.storage import materialize, table
 
 
+#: What may be wrong with the roots of sentences in which every token still hangs below one.
+FORESTS = ["", "root_count", "root_label", "root_count,root_label"]
+
+
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.with_tree(table(spark, sf_dir, "conllu_sentences").select("sent_no", "split", "toks"))
 
@@ -61,9 +65,11 @@ def single_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each valid parsed tree is projective: every subtree fills its span; and by descent: every token under an arc hangs on its head."""
-    valid = materialize(trees.tokens(_valid(_parsed(spark, sf_dir)), "sent_id"), "valid")
-    return trees.projective(trees.ancestors(valid, "sent_id"), "sent_id")
+    """Whether each parsed tree is projective, also one with several roots or a mislabelled one (a root within another's span crosses the arc from the
+    artificial root): every subtree fills its span; and by descent: every token under an arc hangs on its head."""
+    trees_of = _parsed(spark, sf_dir).filter(trees.diagnosis().isin(FORESTS))
+    rows = materialize(trees.tokens(trees_of, "sent_id"), "valid")
+    return trees.projective(trees.ancestors(rows, "sent_id"), "sent_id")
 
 
 def subtree_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +274,7 @@ strict as (
 ),
 """
 _CROSSED = """
-arcs as (select sent_no, least(id, head) as a, greatest(id, head) as b from good),
+arcs as (select sent_no, least(id, head) as a, greatest(id, head) as b from tok join fine using (sent_no)),
 crossed as (select distinct x.sent_no from arcs x join arcs y on x.sent_no = y.sent_no and x.a < y.a and y.a < x.b and x.b < y.b),
 """
 QUERIES = {
@@ -287,6 +293,39 @@ poor as (select sent_no, bool_or(trim(coalesce(form, '')) = '') as form, bool_or
 """) + """ select * from (select c.sent_no as sent_id, case when not ordered then 'ids' when p.form then 'form' when p.label then 'label'
   else coalesce(s.reason, case when c.sent_no in (select sent_no from proj) and c.sent_no not in (select sent_no from flat) then 'crossing' end) end as reason
 from coded c join poor p using (sent_no) left join strict s using (sent_no)) where reason is not null""",
+    "replay_refusals": _with(_PARSED, f"""
+node as (select t.sent_no, t.id, t.head, l.base as label, n.n, coalesce(t.head between 1 and n.n, false) as below from tok t join n using (sent_no) left join deprel_labels l on l.label = t.deprel where n.ordered),
+climb as (
+  select sent_no, id, id as anc from node where not below
+  union all
+  select x.sent_no, x.id, x.id from climb c join node x on x.sent_no = c.sent_no and x.head = c.id and x.below where c.id = c.anc
+),
+up as (
+  select sent_no, id, id as anc from climb where id = anc
+  union all
+  select u.sent_no, u.id, x.head from up u join node x on x.sent_no = u.sent_no and x.id = u.anc where x.below
+),
+edge as (select sent_no, anc as id, max(id) as r from up group by all),
+arcs as (
+  select x.sent_no, x.id, x.id as spot, 0 as rank, 'SHIFT' as kind, null::varchar as label from node x join edge using (sent_no, id)
+  union all
+  select x.sent_no, x.id, case when x.head > x.id then x.head else e.r end, case when x.head > x.id then 1 else 2 end, case when x.head > x.id then 'LEFT_ARC' else 'RIGHT_ARC' end, x.label from node x join edge e using (sent_no, id)
+),
+act as (select *, row_number() over (partition by sent_no order by spot, rank, -id) as step from arcs),
+run as (
+  select distinct sent_no, 0::bigint as step, [0::bigint] as stack, 0::bigint as shifted, n::bigint as n, null::varchar as reason from node
+  union all
+  select sent_no, step, case when kind = 'SHIFT' then list_append(stack, shifted + 1) when kind = 'LEFT_ARC' then list_append(stack[:-3], stack[-1]) else stack[:-2] end, shifted + (kind = 'SHIFT')::int, n, reason
+  from (select r.sent_no, a.step, r.stack, r.shifted, r.n, a.kind, case
+      when a.kind = 'SHIFT' then case when r.shifted >= r.n then 'empty_buffer' end
+      when len(r.stack) < 2 then 'short_stack'
+      when a.label is null or a.label not in ({", ".join(f"'{x}'" for x in BASE_LABELS)}) then 'label'
+      when r.stack[-2] = 0 then case when a.kind = 'LEFT_ARC' then 'root_dependent' when a.label <> 'root' then 'root_label' when r.shifted < r.n then 'root_early' end
+      when a.label = 'root' then 'root_label' end as reason
+    from run r join act a on a.sent_no = r.sent_no and a.step = r.step + 1 where r.reason is null)
+),
+""") + """ select sent_no as sent_id, case when reason is not null then step::int end as step, coalesce(reason, 'unfinished') as reason
+from (select sent_no, max(step) as step from run group by 1) m join run r using (sent_no, step) where r.reason is not null or not (r.shifted = r.n and r.stack = [0])""",
     "single_rooted": """
 with recursive tok as (select distinct sent_id, idx, head, source from ud_tokens),
 linked as (select t.*, p.idx is not null as found from tok t left join tok p on p.sent_id = t.sent_id and p.idx = t.head - 1),
@@ -300,8 +339,9 @@ s as (
   from linked group by sent_id
 )
 select source, count(*) as sentences, count_if(ok)::bigint as single_rooted from s group by source""",
-    "projectivity": _with(_PARSED, _CROSSED)
-    + " select sent_no as sent_id, sent_no not in (select sent_no from crossed) as by_spans, sent_no not in (select sent_no from crossed) as by_descent from coded where errors = ''",
+    "projectivity": _with(_PARSED, f"""
+fine as (select sent_no from coded where errors in ({", ".join(f"'{x}'" for x in FORESTS)})),""", _CROSSED)
+    + " select sent_no as sent_id, sent_no not in (select sent_no from crossed) as by_spans, sent_no not in (select sent_no from crossed) as by_descent from fine",
     "subtree_spans": _with(_TOK, _DOWN) + ", deep as (select sent_no, id, max(distance) as depth from down group by all) select sent_no, id, depth, left_edge, right_edge, size from span join deep using (sent_no, id)",
     "glue_targets": _with(_TOK, _GLUE) + " select sent_no, id, target as target_id from glued where target is not null",
     "projection_rows": _with(_TOK, _GLUE) + " select sent_no, id::int as id, form, head::int as head, deprel, word_id, line_number from proj",
