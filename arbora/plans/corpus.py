@@ -13,6 +13,7 @@ from arbora.storage import table
 
 #: The ids of annotated sentences, and what is asked of an annotated set.
 SENT_ID = "^src-[0-9]{3}-(train|dev|test)-[0-9]+$"
+HASHED_ID = "^[0-9a-f]{64}:[0-9]+$"
 LEAST_SENTENCES, LEAST_TAGS, MOST_SYNTHETIC = 20, 10, 0.2
 
 
@@ -312,6 +313,39 @@ def line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conllu.layout(table(spark, sf_dir, "conllu_lines"))
 
 
+def sent_id_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table: sentence ids, those of the form ``content_hash:number``, and those that have it once they are built anew from their trimmed, lower-cased parts."""
+    out = None
+    for name in ("ud_tokens", "seg_sentences"):
+        ids = table(spark, sf_dir, name).select("sent_id").distinct().filter("sent_id is not null")
+        parts = F.split(F.lower(F.trim("sent_id")), ":")
+        built = F.concat_ws(":", F.trim(parts[0]), F.trim(F.get(parts, F.lit(1))))
+        part = ids.agg(F.count("*").alias("ids"), F.count_if(F.col("sent_id").rlike(HASHED_ID)).alias("well_formed"), F.count_if(built.rlike(HASHED_ID)).alias("rebuilt")).withColumn("source_table", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def loose_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file, read without judging fields: sentences with tokens, those whose comments name no sent_id, tokens, and rows skipped as several words (``-`` in the id) or as empty nodes (``.``)."""
+    numbered = conllu.sentence_lines(table(spark, sf_dir, "conllu_lines"))
+    first = F.substring_index("line_text", "\t", 1)
+    note, skipped = F.col("line_text").startswith("#"), first.contains("-") | first.contains(".")
+    per = numbered.groupBy("file_name", "sentence").agg(
+        F.count_if(~note & ~skipped).alias("tokens"), F.count_if(~note & first.contains("-")).alias("multiword"), F.count_if(~note & ~first.contains("-") & first.contains(".")).alias("empty_nodes"),
+        F.count_if(F.col("line_text").startswith("# sent_id = ") & (F.length("line_text") > 12)).alias("named"),
+    )
+    return per.groupBy("file_name").agg(
+        F.count_if(F.col("tokens") > 0).alias("sentences"), F.count_if((F.col("tokens") > 0) & (F.col("named") == 0)).alias("nameless"), F.sum("tokens").alias("tokens"),
+        F.sum("multiword").alias("multiword"), F.sum("empty_nodes").alias("empty_nodes"),
+    )
+
+
+def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen most frequent lower-cased forms of the annotated sentences, of equals the first."""
+    tok = table(spark, sf_dir, "conllu_sentences").select(F.explode("toks.form").alias("form")).filter("form is not null")
+    return tok.groupBy(F.lower("form").alias("form")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(15)
+
+
 def skipped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range and decimal ids per file."""
     first = F.substring_index("line_text", "\t", 1)
@@ -345,7 +379,7 @@ QUERIES = {
     for f in (
         stub_parse, stub_tokens, label_map, label_pivot, label_sets, histograms, corpus_totals, focus_profile, head_patterns, compound_exceptions, schema_violations,
         segment_violations, latest_rows, gaps, orphans, digests, repeated_requests, mentions, occurrences, annotation_rules, constructions, attachment_scores,
-        differing_words, line_metadata, strict_read_errors, skipped_ids, conllu_rows, recovered_forms, coverage_rules, split_sets, syllables_in_source, line_layout,
+        differing_words, line_metadata, strict_read_errors, skipped_ids, conllu_rows, recovered_forms, coverage_rules, split_sets, syllables_in_source, line_layout, sent_id_shape, loose_scan, top_forms,
     )
 }
 _COMPARED = f"""{_TOK}, f as (select sent_no, toks[1].id as top from conllu_sentences), c as (select tok.*, case when id = top then 0 else top end as sys_head, case when id = top then 'root' else 'dep' end as sys_deprel from tok join f using (sent_no))"""
@@ -414,6 +448,14 @@ late as (select file_name, sentence, max(case when note then line_number end) >
 twice as (select distinct file_name, sentence from k where note and contains(line_text, '=') group by file_name, sentence, key having count(*) > 1)
 select file_name, arg_max(blank, line_number) as ends_blank, (select count(*) from late l where l.file_name = m.file_name) as sentences, (select count_if(coalesce(late, false)) from late l where l.file_name = m.file_name)::bigint as late_comments,
   (select count(*) from twice t where t.file_name = m.file_name) as repeated_keys from m group by 1""",
+    "sent_id_shape": " union all ".join(
+        f"select count(*) as ids, count_if(regexp_matches(sent_id, '{HASHED_ID}'))::bigint as well_formed, count_if(regexp_matches(trim(split_part(lower(trim(sent_id)), ':', 1)) || ':' || trim(split_part(lower(trim(sent_id)), ':', 2)), '{HASHED_ID}'))::bigint as rebuilt, '{t}' as source_table from (select distinct sent_id from {t} where sent_id is not null)" for t in ("ud_tokens", "seg_sentences")
+    ),
+    "loose_scan": f"""with {_LINES}, k as (select *, starts_with(line_text, '#') as note, split_part(line_text, chr(9), 1) as first from kept),
+per as (select file_name, sentence, count_if(not note and not contains(first, '-') and not contains(first, '.')) as tokens, count_if(not note and contains(first, '-')) as multiword,
+  count_if(not note and not contains(first, '-') and contains(first, '.')) as empty_nodes, bool_or(starts_with(line_text, '# sent_id = ') and length(line_text) > 12) as named from k group by 1, 2)
+select file_name, count_if(tokens > 0)::bigint as sentences, count_if(tokens > 0 and not named)::bigint as nameless, sum(tokens)::bigint as tokens, sum(multiword)::bigint as multiword, sum(empty_nodes)::bigint as empty_nodes from per group by 1""",
+    "top_forms": f"with {_TOK} select lower(form) as form, count(*) as n from tok where form is not null group by 1 order by n desc, 1 limit 15",
     "annotation_rules": "with s as (select *, metadata['synthetic'] as syn from conllu_sentences) " + _rules("s", {
         "sent_id": "trim(metadata['sent_id']) <> ''", "register": f"metadata['register'] in {_LIST(REGISTERS)}", "synthetic": "syn in ('true', 'false')", "uncertain": "metadata['uncertain'] in ('true', 'false')",
         "accessed": "regexp_full_match(metadata['accessed'], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(metadata['accessed'] as date) is not null",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import text as tx
 from arbora.functions.vocabulary import BASE_LABELS
+from arbora.operators import trees
 from arbora.operators.hierarchy import resolve
 from arbora.plans import treebank
 from arbora.plans.corpus import _SPLIT
@@ -18,6 +19,8 @@ from arbora.storage import materialize, new_path, table
 
 #: An arc can carry any base label but root.
 ARC_LABELS = 36
+#: The one emoticon that is known.
+EMOTICON = ":))"
 #: A run of letters, marks and digits, or one other character.
 _PIECE = r"(?s)[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]"
 
@@ -42,6 +45,26 @@ def fallback_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def emoticon_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees that hold the emoticon, with it taken out of the tree and hung on the root as ``discourse``.
+
+    Words below it go to their first ancestor that is none; where it was the root, the first such word is the root and takes the others.
+    A sentence of emoticons alone has the first as its root.
+    """
+    valid = treebank._valid(treebank._trees(spark, sf_dir)).filter(F.exists("toks", lambda t: F.coalesce(t["form"] == EMOTICON, F.lit(False))))
+    own = F.struct(F.col("id").alias("node"), (F.coalesce(F.col("form") == EMOTICON, F.lit(False))).alias("smiles"), "deprel")
+    found = resolve(trees.tokens(valid, "sent_no"), "sent_no", "id", F.when(F.col("head") > 0, F.col("head")), own).reached
+    above = F.try_element_at(F.filter("path", lambda p, i: (i > 0) & ~p["smiles"]), F.lit(1))["node"]
+    rows = found.select(F.col("tree").alias("sent_no"), F.col("node").alias("id"), F.col("path")[0]["smiles"].alias("smiles"), F.col("path")[0]["deprel"].alias("deprel"), above.alias("above"))
+    tree = W.partitionBy("sent_no")
+    top = F.coalesce(F.min(F.when(~F.col("smiles") & F.col("above").isNull(), F.col("id"))).over(tree), F.min("id").over(tree))
+    is_top = F.col("id") == F.col("top")
+    return rows.withColumn("top", top).select(
+        "sent_no", "id", F.when(is_top, 0).when(F.col("smiles"), F.col("top")).otherwise(F.coalesce("above", "top")).alias("head"),
+        F.when(is_top, "root").when(F.col("smiles"), "discourse").otherwise(F.col("deprel")).alias("deprel"),
+    )
+
+
 def word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words regained from the syllable trees: the syllable nearest to the root, of equals the first, stands for its word."""
     own = F.struct(F.col("id").alias("node"), "head", "deprel", "word_id")
@@ -169,7 +192,7 @@ def legal_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(legal, "rule", "left").join(taken, ["kind", "named"], "left").select("place", "kind", "label", nothing("legal"), nothing("taken"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_stars, word_groups, legal_actions, syllable_agreement, compound_coverage, compound_occurrences, bracket_balance, bracket_heads, json_lines, conllu_files, legal_listing)}
+QUERIES = {f.__name__: f for f in (fallback_stars, emoticon_override, word_groups, legal_actions, syllable_agreement, compound_coverage, compound_occurrences, bracket_balance, bracket_heads, json_lines, conllu_files, legal_listing)}
 _W = treebank._with
 SQL = {
     "fallback_stars": r"""
@@ -184,6 +207,17 @@ bad as (select sent_id from linked group by 1 having not (count_if(head = 0) = 1
 r as (select sent_id, idx, case when form = ':))' then 2 when regexp_full_match(form, '\pP+') then 1 else 0 end as rank from tok join bad using (sent_id)),
 top as (select *, first_value(idx) over (partition by sent_id order by rank, idx) as root_idx from r)
 select sent_id, idx, case when idx = root_idx then 0 else root_idx + 1 end as head, case when idx = root_idx then 'root' else ['dep', 'punct', 'discourse'][rank + 1] end as deprel from top""",
+    "emoticon_override": _W(treebank._TOK, """
+smiling as (select g.*, form = ':))' as smiles from good g where sent_no in (select sent_no from good where form = ':))')),
+rise as (
+  select sent_no, id, head as spot from smiling
+  union all
+  select r.sent_no, r.id, s.head from rise r join smiling s on s.sent_no = r.sent_no and s.id = r.spot where s.smiles
+),
+risen as (select r.sent_no, r.id, r.spot from rise r left join smiling s on s.sent_no = r.sent_no and s.id = r.spot where r.spot = 0 or not s.smiles),
+top as (select s.sent_no, coalesce(min(case when not smiles and spot = 0 then s.id end), min(s.id)) as top from smiling s join risen using (sent_no, id) group by 1)
+""") + """ select s.sent_no, s.id, case when s.id = top then 0 when smiles then top when spot = 0 then top else spot end::int as head, case when s.id = top then 'root' when smiles then 'discourse' else deprel end as deprel
+from smiling s join risen using (sent_no, id) join top using (sent_no)""",
     "word_groups": _W(treebank._TOK, treebank._GLUE) + """
 select g.sent_no, g.id as word_id, coalesce(c.spot, 0) as head_word_id, g.base as deprel from glued g left join climb c on c.sent_no = g.sent_no and c.id = g.head where g.target is null""",
     "legal_actions": _W(treebank._TOK, treebank._GLUE, treebank._ORACLE) + """,
