@@ -103,7 +103,7 @@ def compound_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     forms = table(spark, sf_dir, "conllu_sentences").select(F.explode("toks.form").alias("form")).select(tx.words(F.lower("form")).alias("w")).filter(F.size("w") == 2)
     forms = forms.select(F.array_join("w", " ").alias("compound")).distinct()
-    words = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.lower("text")).alias("w")).filter(F.size("w") > 1)
+    words = trees.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), w=tx.words(F.lower("text"))).filter(F.size("w") > 1)
     pairs = words.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))).alias("compound"))
     found = pairs.groupBy("compound").agg(F.count("*").alias("documents"))
     return forms.join(found, "compound", "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
@@ -113,18 +113,19 @@ def compound_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of two or more syllables and the documents in which they stand verbatim, in any case, without a letter, mark or digit beside them.
 
     Runs of white space count as one blank. Texts and forms are cut into runs of letters and single other
-    characters; for each length that a form has, both sides meet on that many pieces in a row, pre-aggregated per document.
+    characters. Both sides meet on three pieces in a row, then as many pieces as the form has are compared.
     """
     pieces = lambda c: F.regexp_extract_all(F.array_join(tx.words(F.lower(c)), " "), F.lit(_PIECE), F.lit(0))
+    start = lambda w, i: F.array_join(F.slice(w, i, F.lit(3)), "")
     forms = table(spark, sf_dir, "conllu_sentences").select(F.explode("toks.form").alias("form")).filter(F.size(tx.words(F.col("form"))) > 1)
-    forms = forms.select(pieces("form").alias("w")).distinct()
-    lengths = forms.select(F.size("w").alias("n")).distinct()
-    texts = table(spark, sf_dir, "documents").select(pieces("text").alias("w"))
-    rows = texts.join(F.broadcast(lengths), F.size("w") >= F.col("n"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: (F.get("w", i - 1) != " ") & (F.get("w", i + F.col("n") - 2) != " "))
-    found = rows.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), "")))).alias("compound"), "n").groupBy("compound", "n").agg(F.count("*").alias("documents"))
-    wanted = forms.select(F.array_join("w", "").alias("compound"), F.size("w").alias("n"))
-    return wanted.join(found, ["compound", "n"], "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
+    forms = materialize(forms.select(pieces("form").alias("w")).distinct().select(F.array_join("w", "").alias("compound"), F.size("w").alias("n"), start("w", F.lit(1)).alias("key")), "forms")
+    longest = forms.agg(F.max("n")).first()[0] or 3
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "text")
+    texts = trees.settled(texts, w=pieces("text")).filter(F.size("w") > 2)
+    places = F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.get("w", i - 1) != " "), lambda i: F.struct(start("w", i).alias("key"), F.slice("w", i, F.lit(longest)).alias("on")))
+    met = texts.select("row", F.explode(places).alias("p")).select("row", "p.key", "p.on").join(forms, "key").filter(F.array_join(F.slice("on", F.lit(1), F.col("n")), "") == F.col("compound"))
+    found = met.select("row", "compound").distinct().groupBy("compound").agg(F.count("*").alias("documents"))
+    return forms.select("compound").join(found, "compound", "left").select("compound", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def _balanced(brackets: str):
