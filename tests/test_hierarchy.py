@@ -44,6 +44,7 @@ def test_against_brute_force(spark, monkeypatch, block):
     rows += rows[:20]  # repeated rows
     rows += [(None, 1, 2, "x", "y"), ("t0", None, 2, "x", "y")]  # nothing to place
     rows += [("deep", n, n - 1 if n else None, "x", "y") for n in range(120)]
+    rows += [("neg", -1, -2, "x", "y"), ("neg", -2, None, "x", "y"), ("neg", -70_000, -1, "x", "y"), ("neg", 70_000, -70_000, "x", "y"), ("neg", -9, -8, "x", "y")]
     rows += [("ring", n, (n + 1) % 50, "x", "y") for n in range(50)] + [("ring", 100 + n, 99 + n if n else 7, "x", "y") for n in range(40)]
     reached, endless, h = _resolve(spark, rows)
     assert (reached, endless) == _brute(rows)
