@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,9 +48,9 @@ def record_keys(records: DataFrame) -> DataFrame:
         once = materialize(once.dropDuplicates(["record_id"]), "once")
     marked = F.concat(F.lit(_SENT), "sent_id")
     values = once.select(F.explode(F.concat(F.array(marked), F.coalesce("form", F.array().cast("array<string>")))).alias("value")).filter("value is not null")
-    values = materialize(values.distinct().withColumn("canonical", _canonical("value")), "values")
-    codes = materialize(values.filter("canonical <> ''").select("canonical").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
-    dictionary = values.join(codes, "canonical").select("value", "code")
+    values = materialize(values.distinct().withColumn("canonical", _canonical("value")).withColumn("id", F.monotonically_increasing_id()), "values")
+    # the integer of a canonical text is the least number of the values that have it
+    dictionary = values.filter("canonical <> ''").select("value", F.min("id").over(W.partitionBy("canonical")).alias("code"))
     forms = once.select("record_id", F.explode(F.arrays_zip("idx", "form")).alias("c")).select("record_id", F.col("c.idx").alias("position"), F.col("c.form").alias("value"))
     cells = forms.unionByName(once.select("record_id", F.lit(-(2**31)).alias("position"), marked.alias("value")))
     coded = cells.join(dictionary, "value")
