@@ -35,9 +35,12 @@ WEAK_TRUST, WEAK_SEEN = 0.5, 20
 MAX_WEAK = 1_600
 ROUNDS, STEPS, L2 = 3, 35, 10.0
 BATCH_ROWS = 512
+#: Areas that one task fits; they share the features of the sample.
+AREAS_A_TASK = 4
 
-#: Ends of sentences, for Python and for the JVM.
-END = r"(?:[.!?…]+(?=\s|$)|:\)+|\n)+"
+#: Ends of sentences, for Python and for the JVM: (?:[.!?…]+(?=\s|$)|:\)+|\n)+ with the first character written ahead,
+#: so that both find it by a set of characters and don't try the whole at each place.
+END = r"[.!?…:\n](?:(?<=[.!?…])[.!?…]*(?=\s|$)|(?<=:)\)+|(?<=\n))(?:[.!?…]+(?=\s|$)|:\)+|\n)*"
 _END, _BREAK = re.compile(END), " \0 "
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile("[̀-ͯ]")
@@ -124,12 +127,26 @@ def _scale(s: Sentences) -> np.ndarray:
     return 1 / np.sqrt(np.maximum(np.bincount(s.sentence, minlength=len(s)), 1))
 
 
-def score(s: Sentences, weights: np.ndarray, bias: float) -> np.ndarray:
-    return np.bincount(s.sentence, weights[s.feature], len(s)) * _scale(s) + bias
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` between the starts. The values gathered lie in ``room``; mode "clip", for "raise" buffers them."""
+    return np.add.reduceat(np.take(values, at, out=room[: len(at)], mode="clip"), starts)
+
+
+def score(s: Sentences, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Scores of the sentences by each row of weights in ``table``, one row after the other: gathering rows of several weights takes numpy many times as long."""
+    starts = np.flatnonzero(np.diff(s.sentence, prepend=-1))  # a sentence's words, pairs and bare pairs lie in three runs
+    of = s.sentence[starts]
+    cuts = [0, *(np.flatnonzero(np.diff(of) < 0) + 1), len(of)]
+    z, room = np.zeros((len(s), len(table))), np.empty(len(s.feature), table.dtype)
+    for k, weights in enumerate(table):
+        sums = _sums(weights, s.feature, starts, room)
+        for a, b in zip(cuts, cuts[1:]):
+            z[of[a:b], k] += sums[a:b]
+    return z * _scale(s)[:, None] + bias
 
 
 class Small:
-    """The features that occur more than once, numbered anew, by sentence and by feature; ``scale`` still counts all."""
+    """The features that occur more than once, numbered anew in the order of ``often``, by sentence and by feature; ``scale`` still counts all."""
 
     def __init__(self, s: Sentences, often: np.ndarray, scale: np.ndarray) -> None:
         number = np.full(SLOTS, -1)
@@ -142,11 +159,12 @@ class Small:
         order = np.argsort(feature, kind="stable")
         self.sentence = sentence[order]
         self.columns, self.column_at = np.unique(feature[order], return_index=True)
+        self.room = np.empty(len(feature))
 
     def score(self, weights: np.ndarray, bias: float) -> np.ndarray:
         z = np.zeros(self.n)
         if len(self.rows):
-            z[self.rows] = np.add.reduceat(weights[self.feature], self.row_at)
+            z[self.rows] = _sums(weights, self.feature, self.row_at, self.room)
         return z * self.scale + bias
 
     def fit(self, y: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, float]:
@@ -157,7 +175,7 @@ class Small:
             error = (1 / (1 + np.exp(-self.score(weights, bias))) - y) * trust
             gradient = 0.02 * L2 * weights
             if len(self.columns):
-                gradient[self.columns] += np.add.reduceat((error * self.scale)[self.sentence], self.column_at)
+                gradient[self.columns] += _sums(error * self.scale, self.sentence, self.column_at, self.room)
             seen += gradient**2
             seen_bias += error.sum() ** 2
             weights -= 0.5 * gradient / np.sqrt(seen)
@@ -181,42 +199,49 @@ def dealing(s: Sentences, margin: np.ndarray, n: int) -> np.ndarray:
     return count(best & over)
 
 
-def train_area(texts: list[str], fold: np.ndarray, labelled: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and the sentence threshold for one area; the labels of documents that were not ``read`` are weak ones.
+def train_areas(texts: list[str], fold: np.ndarray, labelled: list[np.ndarray], read: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
+    """Weights, bias and the sentence threshold for each area, given its labelled documents; the labels of documents that were not ``read`` are weak ones.
 
     Readers label documents, so which sentences deal with the area is found in rounds: each
     half is scored by a classifier of the other half, sentences of labelled documents that
     look like those of others are taken for general ones, and unlabelled documents with much
     of the area are left out as probably incomplete. The threshold is the one under which
     ``LEAST_SHARE`` agrees best with the readers, on scores of the other half; weak labels have no say in it.
+    The features of the sentences are found once for all areas.
     """
     s = featurize(texts)
     n = len(texts)
-    if not len(s) or not labelled.any():
-        return np.zeros(SLOTS), -9.0, 0.0
-    mine, half = labelled[s.document], fold[s.document]
-    scale = _scale(s)
-    often = np.flatnonzero(np.bincount(s.feature, minlength=SLOTS) > 1)
+    if not len(s):
+        return [(np.zeros(SLOTS), -9.0, 0.0) for _ in labelled]
+    half, scale = fold[s.document], _scale(s)
+    counts = np.bincount(s.feature, minlength=SLOTS)
+    often = np.argsort(-counts, kind="stable")[: (counts > 1).sum()]  # the most frequent lie together in memory
     whole = Small(s, often, scale)
     halves = [Small(s.part(half == k), often, scale[half == k]) for k in (0, 1)]
-    y, trust, z = mine.astype(float), np.ones(len(s)), np.zeros(len(s))
-    for _ in range(ROUNDS):
-        for k in (0, 1):
-            if halves[k].n and halves[1 - k].n:
-                z[half != k] = halves[1 - k].score(*halves[k].fit(y[half == k], trust[half == k]))
-        least = np.quantile(z[~mine], 0.98) if (~mine).any() else -9.0
-        share = shares(s, z > least, n)[s.document]
-        y = np.where(mine & (z > least), 1.0, 0.0)
-        trust = np.where(mine & (z <= least) & (share > 0), 0.5, 1.0)
-        trust[~mine & (share >= 0.2) & (z > least)] = 0
-    weights = np.zeros(SLOTS)
-    weights[often], bias = whole.fit(y, trust)
-    grid = np.linspace(-4, 1, 51)
-    about = [shares(s, z > t, n) >= LEAST_SHARE for t in grid]
-    quality = np.array([2 * (a & labelled & read).sum() / max(1, (a & read).sum() + (labelled & read).sum()) for a in about])
-    # the middle of the thresholds that do about equally well
-    threshold = float(np.median(grid[quality >= quality.max() - 0.004]))
-    return weights, bias, threshold
+
+    def one(labelled: np.ndarray) -> tuple[np.ndarray, float, float]:
+        if not labelled.any():
+            return np.zeros(SLOTS), -9.0, 0.0
+        mine = labelled[s.document]
+        y, trust, z = mine.astype(float), np.ones(len(s)), np.zeros(len(s))
+        for _ in range(ROUNDS):
+            for k in (0, 1):
+                if halves[k].n and halves[1 - k].n:
+                    z[half != k] = halves[1 - k].score(*halves[k].fit(y[half == k], trust[half == k]))
+            least = np.quantile(z[~mine], 0.98) if (~mine).any() else -9.0
+            share = shares(s, z > least, n)[s.document]
+            y = np.where(mine & (z > least), 1.0, 0.0)
+            trust = np.where(mine & (z <= least) & (share > 0), 0.5, 1.0)
+            trust[~mine & (share >= 0.2) & (z > least)] = 0
+        weights = np.zeros(SLOTS)
+        weights[often], bias = whole.fit(y, trust)
+        grid = np.linspace(-4, 1, 51)
+        about = [shares(s, z > t, n) >= LEAST_SHARE for t in grid]
+        quality = np.array([2 * (a & labelled & read).sum() / max(1, (a & read).sum() + (labelled & read).sum()) for a in about])
+        # the middle of the thresholds that do about equally well
+        return weights, bias, float(np.median(grid[quality >= quality.max() - 0.004]))
+
+    return [one(x) for x in labelled]
 
 
 _MODEL = "subject_id int, bias double, threshold double, weights array<float>"
@@ -252,7 +277,7 @@ def weak_labels(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, sources: DataFrame) -> DataFrame:
-    """One model per area, each fitted in its own task on the same bounded sample of labelled documents.
+    """One model per area, AREAS_A_TASK fitted in one task, all on the same bounded sample of labelled documents.
 
     The sample is MAX_LABELLED documents that readers saw and MAX_WEAK others with weak labels at
     most; a label of any reader counts, a null one says that the reader saw none. Null texts
@@ -271,24 +296,28 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, sources: Da
     sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # MAX_LABELLED + MAX_WEAK rows at most
     ids = [r[0] for r in areas.select("subject_id").filter("subject_id is not null").distinct().orderBy("subject_id").collect()]  # a closed list of fixed size
 
-    def one(sample: pd.DataFrame) -> pd.DataFrame:
-        area = int(sample["subject_id"].iloc[0])
+    blocks = [ids[k : k + AREAS_A_TASK] for k in range(0, len(ids), AREAS_A_TASK)]
+
+    def block(sample: pd.DataFrame) -> pd.DataFrame:
+        own = blocks[int(sample["block"].iloc[0])]
         sample = sample.sort_values("doc_id")
         fold = np.array([zlib.crc32(str(d).encode()) & 1 for d in sample["doc_id"]])
-        labelled = np.array([area in list(said) for said in sample["said"]])
-        weights, bias, threshold = train_area(sample["text"].tolist(), fold, labelled, sample["read"].to_numpy(bool))
-        return pd.DataFrame({"subject_id": [area], "bias": [bias], "threshold": [threshold], "weights": [weights.astype(np.float32)]})
+        said = [set(x) for x in sample["said"]]
+        labelled = [np.array([area in x for x in said]) for area in own]
+        models = train_areas(sample["text"].tolist(), fold, labelled, sample["read"].to_numpy(bool))
+        return pd.DataFrame([(area, bias, threshold, weights.astype(np.float32)) for area, (weights, bias, threshold) in zip(own, models)], columns=["subject_id", "bias", "threshold", "weights"])
 
-    each = materialize(sample, "sample").withColumn("subject_id", F.explode(F.array(*[F.lit(k) for k in ids])))
-    return each.repartitionByRange(max(1, len(ids)), "subject_id").groupBy("subject_id").applyInPandas(one, _MODEL)
+    each = materialize(sample, "sample").withColumn("block", F.explode(F.array(*[F.lit(k) for k in range(len(blocks))]).cast("array<int>")))
+    return each.repartitionById(max(1, len(blocks)), "block").groupBy("block").applyInPandas(block, _MODEL)
 
 
 def stock_endings(documents: DataFrame) -> set[str]:
     """Last sentences that many different texts share; at most 1/STOCK_SHARE of them by the bound on their share, each of STOCK_CHARS at most."""
     line = F.substring_index(F.rtrim(F.col("text"), F.lit(" \t\r\n")), "\n", -1)
     last = F.lower(F.trim(F.try_element_at(F.filter(F.split(line, END), lambda x: F.trim(x) != ""), F.lit(-1))))
-    ends = documents.filter("text is not null").select(F.xxhash64("text").alias("h"), last.alias("ending")).filter("ending is not null").distinct()
-    counts = materialize(ends.groupBy("ending").agg(F.count("*").alias("n")), "endings")
+    ends = documents.filter("text is not null").select(F.xxhash64("text").alias("h"), last.alias("ending")).distinct()
+    # texts without a sentence are left out of the table written, for Spark would push the condition down and find each ending twice
+    counts = materialize(ends.groupBy("ending").agg(F.count("*").alias("n")), "endings").filter("ending is not null")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r[0] for r in counts.filter((F.col("n") >= max(2, STOCK_SHARE * total)) & (F.length("ending") <= STOCK_CHARS)).select("ending").collect()}
 
@@ -301,7 +330,7 @@ def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> Data
     """
     rows = sorted(models.collect(), key=lambda r: r["subject_id"])  # one fixed-size model per area
     ids = np.array([r["subject_id"] for r in rows], np.int32)
-    table = np.array([r["weights"] for r in rows], np.float32).T.copy() if rows else np.zeros((SLOTS, 0), np.float32)
+    table = np.array([r["weights"] for r in rows], np.float32) if rows else np.zeros((0, SLOTS), np.float32)
     bias, threshold = np.array([r["bias"] for r in rows]), np.array([r["threshold"] for r in rows])
     shared = documents.sparkSession.sparkContext.broadcast((ids, table, bias, threshold, endings))
 
@@ -318,12 +347,7 @@ def classify(documents: DataFrame, models: DataFrame, endings: set[str]) -> Data
                 s = featurize(texts)
                 if not len(s) or not len(ids):
                     continue
-                starts = np.flatnonzero(np.diff(s.sentence, prepend=-1))  # a sentence's words, pairs and bare pairs lie in three runs
-                z = np.zeros((len(s), len(ids)))
-                sums, of = np.add.reduceat(table[s.feature], starts, axis=0), s.sentence[starts]
-                for run in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of) < 0) + 1):
-                    z[of[run]] += sums[run]
-                z = z * _scale(s)[:, None] + bias
+                z = score(s, table, bias)
                 total = np.bincount(s.document, minlength=len(texts))
                 by = dealing(s, z - threshold, len(texts))
                 about = (by >= LEAST_SHARE * total[:, None]) & (by > 0)
